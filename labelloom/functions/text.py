@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 PAD_ID = 0
 UNKNOWN_ID = 1
 
-# The characters that separate words.
-WHITESPACE = (
-    r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-)
+# The characters that separate words (Unicode white space and four control characters).
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def words(text: Column) -> Column:

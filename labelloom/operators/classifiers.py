@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import argmax
 from ..functions.text import words
+from .encoding import exploded_tokens
 from .scale import sized_join, store
 
 # One column per class is kept while scoring.
@@ -51,8 +52,8 @@ def token_weights(df: DataFrame, classes: list) -> DataFrame:
     texts of the token's share of the text. One pass over train, stored for reuse.
     """
     tokens = df.filter("split = 'train'").select("label", words(F.col("text")).alias("w"))
-    exploded = tokens.select("label", F.try_divide(F.lit(1.0), F.size("w")).alias("share"), F.explode("w").alias("token"))
-    counts = exploded.groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("share").alias("f"))
+    shares = tokens.select("label", F.try_divide(F.lit(1.0), F.size("w")).alias("share"), "w")
+    counts = exploded_tokens(shares).groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("share").alias("f"))
     per_class = []
     for i, row in enumerate(classes):
         here = F.col("label") == row.label
@@ -69,7 +70,8 @@ def _score_texts(df: DataFrame, coefficients: DataFrame, value: Column, bias: li
     """
     carried = ["id", "split", "label"]
     tokens = df.select(*carried, words(F.col("text")).alias("w"))
-    exploded = tokens.select(*carried, value.alias("value"), F.posexplode_outer("w").alias("pos", "token"))
+    valued = tokens.select(*carried, value.alias("value"), "w")
+    exploded = valued.select(*carried, "value", F.posexplode_outer("w").alias("pos", "token"))
     matched = sized_join(exploded, coefficients, ["token"], "left", spread_by=["id", "pos"])
     sums = matched.groupBy(*carried).agg(
         *[F.coalesce(F.sum(F.col("value") * F.col(f"w_{i}")), F.lit(0.0)).alias(f"s_{i}") for i in range(len(bias))]

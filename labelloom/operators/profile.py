@@ -42,7 +42,9 @@ def text_stats(train: DataFrame, sample: int | None = STATS_ROWS, id_column: str
         F.avg("words").alias("avg_words"), F.min("words").alias("min_words"), F.max("words").alias("max_words")
     ).withColumn(
         "recommended_max_seq_length",
-        F.least(F.lit(LONGEST_RECOMMENDED), (F.col("avg_words") * 2).cast("int")),
+        F.when(
+            F.col("avg_words").isNotNull(), F.least(F.lit(LONGEST_RECOMMENDED), (F.col("avg_words") * 2).cast("int"))
+        ),
     )
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 TASK_ROWS = 1_000_000
@@ -49,10 +50,28 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def widen(df: DataFrame, source: DataFrame, by: str) -> DataFrame:
+    """Give an input that Spark reads in fewer tasks than there are cores to all of them.
+
+    That happens with files that cannot be split, such as a single row group. ``source`` is the
+    plain scan under ``df``; where it has tasks enough nothing is moved.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if source.rdd.getNumPartitions() >= tasks else df.repartition(tasks, by)
+
+
+def _column_bytes(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return F.lit(8)
+
+
 def fits_broadcast(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure the table (its size as JSON text, an upper bound in practice) in one pass."""
-    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
-    return (size or 0) <= max_bytes
+    """Measure what the table's values take in one pass over it."""
+    row = sum((_column_bytes(f.name, f.dataType) for f in table.schema), F.lit(0).cast("long"))
+    return (table.agg(F.sum(row)).first()[0] or 0) <= max_bytes
 
 
 def sized_join(

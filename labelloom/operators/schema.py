@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,9 +56,8 @@ def class_catalog(df: DataFrame, label: str = "label") -> DataFrame:
     few = classes.take(LOCAL_CLASSES + 1)
     if len(few) <= LOCAL_CLASSES:
         values = sorted(row[0] for row in few)
-        numbered = spark.createDataFrame(
-            [(i, str(v)) for i, v in enumerate(values)], "label int, class_name string"
-        )
+        names = pa.table({"label": pa.array(range(len(values)), pa.int32()), "class_name": [str(v) for v in values]})
+        numbered = spark.createDataFrame(names)
     else:
         one_group = store(classes, "classes").withColumn("_all", F.lit(0))
         numbered = running(

@@ -7,6 +7,7 @@ the wanted number of rows.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,28 +33,21 @@ def _below_ratio(hashed: Column, ratio: float) -> Column:
 def _cutoff(df: DataFrame, id_column: str, salt: str, ratio: float) -> tuple | None:
     """Hash and id of the last of the ``ceil(ratio * n)`` lowest rows, by (hash, id).
 
-    Rows are counted by the top 16 bits of the hash (at most 65,536 counts, and the ids are
-    distinct, so even). Only the bucket in which the wanted row falls is sorted.
+    Rows are counted by the top 16 bits of the hash. The ids are distinct, so the buckets are even,
+    and their counts, 65,536 at most, fit the driver. Only the bucket in which the wanted row falls
+    is sorted. Both passes read nothing but the id and the split.
     """
     hashed = df.select(F.col(id_column).alias("id"), hash_key(F.col(id_column), salt).alias("h"))
-    hashed = hashed.withColumn("bucket", F.shiftright("h", 16))
-    upto = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = F.ceil(F.lit(Decimal(str(ratio))) * F.sum("n").over(Window.partitionBy()))
-    edge = (
-        hashed.groupBy("bucket")
-        .agg(F.count("*").alias("n"))
-        .select("bucket", "n", upto.alias("upto"), wanted.alias("wanted"))
-        .filter("upto >= wanted and upto - n < wanted")
-        .select("bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("nth"))
-    )
-    in_bucket = Window.partitionBy("bucket").orderBy("h", "id")
-    return (
-        hashed.join(F.broadcast(edge), "bucket")
-        .withColumn("position", F.row_number().over(in_bucket))
-        .filter("position = nth")
-        .select("h", "id")
-        .first()
-    )
+    bucket = F.shiftright("h", 16)
+    counts = sorted(hashed.groupBy(bucket.alias("bucket")).count().collect())
+    left = math.ceil(Decimal(str(ratio)) * sum(n for _, n in counts))
+    if left == 0:
+        return None
+    for edge, n in counts:
+        if left <= n:
+            break
+        left -= n
+    return hashed.filter(bucket == edge).orderBy("h", "id").offset(left - 1).limit(1).first()
 
 
 def carve(

@@ -76,10 +76,13 @@ def unigram_perplexity(train: DataFrame, held_out: DataFrame, by: list[str]) ->
 def successor_pairs(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Occurrences ``n`` of each pair of neighbouring tokens ``(previous, token)``."""
     by = by or []
-    split = df.select(*by, words(F.col("text")).alias("w")).filter(F.size("w") > 1)
-    before = F.slice("w", F.lit(1), F.size("w") - 1)
-    after = F.slice("w", F.lit(2), F.size("w") - 1)
-    pairs = split.select(*by, F.inline(F.arrays_zip(before.alias("previous"), after.alias("token"))))
+    split = df.select(*by, words(F.col("text")).alias("w"))
+    pairs_in_text = F.greatest(F.size("w") - 1, F.lit(0))
+    before = F.slice("w", F.lit(1), pairs_in_text)
+    after = F.slice("w", F.lit(2), pairs_in_text)
+    pairs = split.select(*by, F.inline_outer(F.arrays_zip(before.alias("previous"), after.alias("token")))).filter(
+        F.col("token").isNotNull()
+    )
     return pairs.groupBy(*by, "previous", "token").agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import number_epochs
+from ..operators.scale import widen
 from ..operators.schema import class_catalog, encode_label
 from ..operators.splits import split_train_val_test
 
@@ -19,14 +20,19 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return class_catalog(table(spark, folder, "documents"), "lang")
 
 
+def unlabelled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(id, text, lang, source, label)`` with the language as label."""
-    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
-    return encode_label(rows, languages(spark, folder), "lang")
+    return encode_label(unlabelled_documents(spark, folder), languages(spark, folder), "lang")
 
 
 def split_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return split_train_val_test(documents(spark, folder))
+    """As ``documents``, with ``split``; ready for work on the texts."""
+    rows = unlabelled_documents(spark, folder)
+    return widen(encode_label(split_train_val_test(rows), languages(spark, folder), "lang"), rows, "id")
 
 
 def quality_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.text import WHITESPACE
+# The characters that separate words, spelled out.
+WHITESPACE = (
+    r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
 
 
 def _words(text: str = "text") -> str:
@@ -149,11 +153,11 @@ _KEYWORDS = """
         SELECT w.id, l.label AS class, sum(w.n * l.lp) AS s
         FROM words w JOIN likelihood l USING (token) GROUP BY w.id, l.label),
     keyword_scores AS (
-        SELECT d.id, d.split, d.label, c.label AS class, round(c.prior + coalesce(s, 0), 6) AS score
+        SELECT d.id, d.split, d.label, c.label AS class, c.prior + coalesce(s, 0) AS raw, round(raw, 6) AS score
         FROM ds_split d CROSS JOIN class_sizes c
         LEFT JOIN keyword_sums k ON k.id = d.id AND k.class = c.label),
     keyword_best AS (
-        SELECT id, split, label, class AS prediction, score FROM keyword_scores
+        SELECT id, split, label, class AS prediction, raw FROM keyword_scores
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, class) = 1)"""
 _CENTROIDS = """
     text_centroids AS (
@@ -408,7 +412,7 @@ ORACLES: dict[str, str] = {
         FROM scored""",
     "keyword_classifier": f"""
         WITH {_TOKENS}, {_CLASSES}, {_KEYWORDS}
-        SELECT id, split, label, prediction, round(score, 3) AS score FROM keyword_best""",
+        SELECT id, split, label, prediction, round(raw, 3) AS score FROM keyword_best""",
     "centroid_classifier": f"""
         WITH vectors AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
         {_exact('parts', 'vectors')},
@@ -420,14 +424,13 @@ ORACLES: dict[str, str] = {
             SELECT l.id, l.split, l.label, m.label AS prediction, round(sum(value * mean) + any_value(bias), 6) AS score
             FROM long l JOIN means m USING (dim) JOIN bias b ON b.label = m.label
             GROUP BY l.id, l.split, l.label, m.label)
-        SELECT id, split, label, prediction, round(score, 5) AS score FROM scores
-        QUALIFY row_number() OVER (PARTITION BY id ORDER BY scores.score DESC, prediction) = 1""",
+        SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, prediction) = 1""",
     "experiment": f"""
         WITH {_TOKENS}, {_CLASSES}, {_KEYWORDS}, {_CENTROIDS},
-        both AS (
+        recipes AS (
             SELECT 'keywords' AS run_id, split, label, prediction FROM keyword_best WHERE split <> 'train'
             UNION ALL SELECT 'centroids', split, label, prediction FROM centroid_best WHERE split <> 'train'),
-        {_metrics('both', 'run_id, split')},
+        {_metrics('recipes', 'run_id, split')},
         test AS (SELECT *, 'documents' AS dataset FROM summary WHERE split = 'test'),
         val AS (SELECT run_id, f1_macro AS best_val_f1 FROM summary WHERE split = 'validation')
         SELECT t.* EXCLUDE (split), best_val_f1, (rank() OVER (ORDER BY f1_macro DESC))::INTEGER AS rank

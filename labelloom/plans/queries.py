@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import classifiers, compare, encoding, history, metrics, models, profile, schema, splits, token_models
-from ..operators.scale import scratch_path, sized_join, store
+from ..operators.scale import scratch_path, sized_join, store, widen
 from ..sources import datasets, runs
 from . import inputs
 from .experiment import experiment as run_experiment
@@ -176,8 +176,8 @@ def checkpoint_epochs(spark, folder):
 
 @query
 def word_count(spark, folder):
-    rows = inputs.table(spark, folder, "documents")
-    return rows.select(F.col("doc_id").alias("id"), text.word_count(F.col("text")).alias("words"))
+    rows = inputs.unlabelled_documents(spark, folder)
+    return widen(rows, rows, "id").select("id", text.word_count(F.col("text")).alias("words"))
 
 
 @query
@@ -415,12 +415,12 @@ def leaderboard(spark, folder):
 @query
 def keyword_classifier(spark, folder):
     scored = classifiers.keyword_classifier(inputs.split_documents(spark, folder))
-    return _rounded(scored.drop("logits"), 3)
+    return scored.select("id", "split", "label", "prediction", F.round(F.array_max("logits"), 3).alias("score"))
 
 
 @query
 def centroid_classifier(spark, folder):
-    return _rounded(classifiers.centroid_classifier(inputs.split_vectors(spark, folder)).drop("logits"), 5)
+    return _rounded(classifiers.centroid_classifier(inputs.split_vectors(spark, folder)).drop("logits"))
 
 
 @query
