@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import perplexity
-from .scale import running, spread
+from .scale import PART, running, spread
 
 # Epochs without improvement before stopping; epochs between checkpoints.
 PATIENCE = 10
@@ -15,9 +15,8 @@ CHECKPOINT_EVERY = 10
 
 def number_epochs(df: DataFrame, order: list[str | Column], run: str = "run_id") -> DataFrame:
     """Add ``epoch`` 1, 2, ... in the given order of each run."""
-    return running(spread(df, [run], order), [run], order, {"epoch": (F.sum, F.lit(1), True)}).withColumn(
-        "epoch", F.col("epoch").cast("int")
-    )
+    numbered = running(spread(df, [run], order), [run], order, {"epoch": (F.sum, F.lit(1), True)})
+    return numbered.withColumn("epoch", F.col("epoch").cast("int")).drop(PART)
 
 
 def best_epoch(df: DataFrame, metric: str = "val_f1", run: str = "run_id") -> DataFrame:
@@ -29,17 +28,23 @@ def best_epoch(df: DataFrame, metric: str = "val_f1", run: str = "run_id") -> Da
     )
 
 
-def improvement_streak(df: DataFrame, metric: str = "val_f1", run: str = "run_id") -> DataFrame:
-    """Add ``improved`` (above all before, and above 0) and ``streak``, the epochs since then."""
+def _streaks(df: DataFrame, metric: str, run: str) -> DataFrame:
     cut = spread(df, [run], ["epoch"])
     usable = F.when(~F.isnan(metric), F.col(metric))
     best = running(cut, [run], ["epoch"], {"best_before": (F.max, usable, False)})
     better = usable > F.greatest(F.lit(0.0), F.col("best_before"))
     marked = best.withColumn("improved", F.coalesce(better, F.lit(False)))
     at = F.when(F.col("improved"), F.col("epoch"))
-    return running(marked, [run], ["epoch"], {"improved_at": (F.max, at, True)}).withColumn(
-        "streak", F.col("epoch") - F.coalesce("improved_at", F.lit(0))
-    ).drop("best_before", "improved_at")
+    return (
+        running(marked, [run], ["epoch"], {"improved_at": (F.max, at, True)})
+        .withColumn("streak", F.col("epoch") - F.coalesce("improved_at", F.lit(0)))
+        .drop("best_before", "improved_at")
+    )
+
+
+def improvement_streak(df: DataFrame, metric: str = "val_f1", run: str = "run_id") -> DataFrame:
+    """Add ``improved`` (above all before, and above 0) and ``streak``, the epochs since then."""
+    return _streaks(df, metric, run).drop(PART)
 
 
 def early_stop(df: DataFrame, patience: int = PATIENCE, metric: str = "val_f1", run: str = "run_id") -> DataFrame:
@@ -47,14 +52,13 @@ def early_stop(df: DataFrame, patience: int = PATIENCE, metric: str = "val_f1",
 
     Adds ``stopped``, true on that epoch. Patience 0 or less never stops.
     """
-    streaks = improvement_streak(df, metric, run)
+    streaks = _streaks(df, metric, run)
     if patience <= 0:
-        return streaks.withColumn("stopped", F.lit(False))
+        return streaks.withColumn("stopped", F.lit(False)).drop(PART)
     flagged = streaks.withColumn("stopped", F.col("streak") >= patience)
     stops = {"stops_before": (F.sum, F.col("stopped").cast("int"), False)}
-    return (
-        running(flagged, [run], ["epoch"], stops).filter(F.coalesce("stops_before", F.lit(0)) == 0).drop("stops_before")
-    )
+    counted = running(flagged, [run], ["epoch"], stops)
+    return counted.filter(F.coalesce("stops_before", F.lit(0)) == 0).drop("stops_before", PART)
 
 
 def checkpoint_epochs(df: DataFrame, every: int = CHECKPOINT_EVERY) -> DataFrame:

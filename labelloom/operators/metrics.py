@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scale import running, spread
+from .scale import PART, running, spread
 
 
 def confusion_matrix(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -73,6 +73,5 @@ def running_accuracy(df: DataFrame, run: list[str], batch: str = "batch_id") ->
         "running_correct": (F.sum, F.col("correct"), True),
         "running_total": (F.sum, F.col("total"), True),
     }
-    return running(spread(batches, run, [batch]), run, [batch], sums).withColumn(
-        "running_accuracy", F.col("running_correct") / F.col("running_total")
-    )
+    counted = running(spread(batches, run, [batch]), run, [batch], sums).drop(PART)
+    return counted.withColumn("running_accuracy", F.col("running_correct") / F.col("running_total"))

@@ -161,7 +161,8 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], totals:
     ``totals`` maps a new column to ``(F.sum or F.max, value, with the current row)``. Rows that
     came cut from ``spread`` get the total within their piece, combined with that of the pieces
     before it. A piece boundary lies inside at most one group, so what is carried over has fewer
-    rows than there are pieces; it is broadcast.
+    rows than there are pieces; it is broadcast. The result is stored, so that further totals on
+    the same pieces do not repeat these. Drop the column ``PART`` when done.
     """
     cut = PART in df.columns
     window = Window.partitionBy(*group, *([PART] if cut else [])).orderBy(*order)
@@ -195,4 +196,4 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], totals:
     for name, (add, _, _) in totals.items():
         here, earlier = F.col(name), F.col(f"_before_{name}")
         combined[name] = F.greatest(here, earlier) if add is F.max else F.coalesce(here + earlier, here, earlier)
-    return joined.withColumns(combined).select(*df.columns, *totals)
+    return store(joined.withColumns(combined).select(*df.columns, *totals), "totals")

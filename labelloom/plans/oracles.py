@@ -303,7 +303,7 @@ ORACLES: dict[str, str] = {
     "classification_metrics": f"WITH {_PRED}, {_metrics('pred')} SELECT * FROM summary",
     "unigram_loss": f"""
         WITH {_UNIGRAM}
-        SELECT split, count(*) AS tokens, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity
+        SELECT split, count(*) AS tokens, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 3) AS perplexity
         FROM scored GROUP BY split""",
     "unigram_perplexity": f"""
         WITH {_UNIGRAM},
@@ -311,7 +311,7 @@ ORACLES: dict[str, str] = {
             SELECT 'all' AS "grouping", 'all' AS value, nll FROM scored
             UNION ALL SELECT 'lang', lang, nll FROM scored
             UNION ALL SELECT 'source', source, nll FROM scored)
-        SELECT "grouping", value, count(*) AS tokens, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity
+        SELECT "grouping", value, count(*) AS tokens, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 3) AS perplexity
         FROM long GROUP BY "grouping", value""",
     "token_accuracy": f"""
         WITH {_TOKENS},
@@ -331,7 +331,7 @@ ORACLES: dict[str, str] = {
             SELECT lang, target, -ln((coalesce(n, 0) + 1) / d::DOUBLE) AS nll
             FROM positions LEFT JOIN vocab ON token_id = target, size WHERE target <> 0)
         SELECT lang, round(100 * count(*) FILTER (target = 2) / count(*), 6) AS token_accuracy,
-               round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity
+               round(avg(nll), 6) AS loss, round(exp(avg(nll)), 3) AS perplexity
         FROM scored GROUP BY lang""",
     "epoch_loss": f"""
         WITH {_LOGITS}, batches AS (SELECT batch_id, avg(nll) AS loss FROM losses GROUP BY batch_id)
@@ -406,7 +406,7 @@ ORACLES: dict[str, str] = {
         FROM runs""",
     "leaderboard": """
         WITH scored AS (
-            SELECT event_type AS dataset, user_id AS run_id, round(avg(value) / 100, 2) AS f1_macro
+            SELECT event_type AS dataset, user_id AS run_id, count(*) FILTER (value > 30) / count(*) AS f1_macro
             FROM events GROUP BY event_type, user_id)
         SELECT (rank() OVER (PARTITION BY dataset ORDER BY f1_macro DESC))::INTEGER AS rank, dataset, run_id, f1_macro
         FROM scored""",

@@ -23,9 +23,12 @@ def query(build: Query) -> Query:
     return build
 
 
-def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Sums of floats depend on their order in the last digits."""
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _rounded(df: DataFrame) -> DataFrame:
+    """Sums of floats depend on their order in the last digits, exponentials of them on more."""
+    digits = {"perplexity": 3}
+    return df.select(
+        *[F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    )
 
 
 def _train(df: DataFrame) -> DataFrame:
