@@ -8,6 +8,8 @@ input row: its ``logits`` in the order of the sorted class ids, the ``prediction
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +34,13 @@ def _class_rows(train: DataFrame) -> list:
     return sorted(rows, key=lambda row: row.label)
 
 
-def _predict(logits: Column, classes: list[int]) -> tuple[Column, Column]:
+def predict(logits: str, classes: list) -> tuple[Column, Column]:
+    """Predicted class and its score."""
     rounded = F.transform(logits, lambda x: F.round(x, SCORE_PLACES))
-    labels = F.array(*[F.lit(c) for c in classes])
+    labels = F.array(*[F.lit(row.label) for row in classes])
     return F.element_at(labels, argmax(rounded) + 1), F.array_max(rounded)
 
 
-def _with_prediction(df: DataFrame, classes: list[int]) -> DataFrame:
-    prediction, score = _predict(F.col("logits"), classes)
-    return df.withColumns({"prediction": prediction, "score": score})
-
-
 def text_classes(df: DataFrame) -> list:
     return _class_rows(df.filter("split = 'train'"))
 
@@ -62,47 +60,75 @@ def token_weights(df: DataFrame, classes: list) -> DataFrame:
     return store(counts.groupBy("token").agg(*per_class), "token-weights")
 
 
-def _score_texts(df: DataFrame, coefficients: DataFrame, value: Column, bias: list[float], classes: list) -> DataFrame:
-    """Sum ``value`` times the token's coefficient ``w_i`` over the tokens of each text.
+@dataclass
+class Recipe:
+    """A linear score: per class a bias, plus over a text's tokens the sum of ``value`` (of ``share``,
+    the token's share of the text) times the token's coefficient.
+    """
+
+    coefficients: list[Column]
+    value: Column
+    bias: list[float]
+
+
+def keyword_recipe(weights: DataFrame, classes: list) -> Recipe:
+    """Multinomial naive Bayes with add-one smoothing."""
+    k = range(len(classes))
+    totals = weights.agg(F.count("*").alias("size"), *[F.sum(f"n_{i}").alias(f"n_{i}") for i in k]).first()
+    smoothed = [(totals[f"n_{i}"] or 0) + totals["size"] for i in k]
+    docs = sum(row.docs for row in classes)
+    log_likelihood = [F.log((F.col(f"n_{i}") + 1) / F.lit(float(smoothed[i] or 1))) for i in k]
+    return Recipe(log_likelihood, F.lit(1.0), [math.log(row.docs / docs) for row in classes])
+
+
+def centroid_recipe(weights: DataFrame, classes: list) -> Recipe:
+    """Nearest centroid of term frequencies."""
+    means = [F.col(f"f_{i}") / row.docs for i, row in enumerate(classes)]
+    squares = weights.agg(*[F.sum(m * m) for m in means]).first()
+    return Recipe(means, F.col("share"), [-0.5 * (s or 0.0) for s in squares])
+
+
+def score_texts(df: DataFrame, weights: DataFrame, recipes: dict[str, Recipe], classes: list) -> DataFrame:
+    """``(id, split, label)`` and the logits of each recipe under its name, all in one pass.
 
     Tokens that train lacks add nothing. A small coefficient table is broadcast and then nothing
-    but one partial sum per text is shuffled; a large one is joined with frequent tokens salted.
+    but one row of sums per text is shuffled; a large one is joined with frequent tokens salted.
     """
     carried = ["id", "split", "label"]
-    tokens = df.select(*carried, words(F.col("text")).alias("w"))
-    valued = tokens.select(*carried, value.alias("value"), "w")
-    exploded = valued.select(*carried, "value", F.posexplode_outer("w").alias("pos", "token"))
+    columns = {name: [f"{name}_{i}" for i in range(len(classes))] for name in recipes}
+    coefficients = weights.select(
+        "token", *[c.alias(to) for name, r in recipes.items() for c, to in zip(r.coefficients, columns[name])]
+    )
+    texts = df.select(*carried, words(F.col("text")).alias("w"))
+    shares = texts.select(*carried, F.try_divide(F.lit(1.0), F.size("w")).alias("share"), "w")
+    exploded = shares.select(*carried, "share", F.posexplode_outer("w").alias("pos", "token"))
     matched = sized_join(exploded, coefficients, ["token"], "left", spread_by=["id", "pos"])
     sums = matched.groupBy(*carried).agg(
-        *[F.coalesce(F.sum(F.col("value") * F.col(f"w_{i}")), F.lit(0.0)).alias(f"s_{i}") for i in range(len(bias))]
+        *[F.sum(r.value * F.col(c)).alias(c) for name, r in recipes.items() for c in columns[name]]
     )
-    logits = F.array(*[F.col(f"s_{i}") + F.lit(b) for i, b in enumerate(bias)])
-    scored = sums.select(*carried, logits.alias("logits"))
-    return _with_prediction(scored, [row.label for row in classes])
-
-
-def keyword_classifier(df: DataFrame, classes: list | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Multinomial naive Bayes with add-one smoothing on ``(id, split, label, text)``."""
-    classes = classes or text_classes(df)
-    weights = weights or token_weights(df, classes)
-    k = len(classes)
-    totals = weights.agg(F.count("*").alias("size"), *[F.sum(f"n_{i}").alias(f"n_{i}") for i in range(k)]).first()
-    smoothed = [(totals[f"n_{i}"] or 0) + totals["size"] for i in range(k)]
-    docs = sum(row.docs for row in classes)
-    log_likelihood = [F.log((F.col(f"n_{i}") + 1) / F.lit(float(smoothed[i] or 1))).alias(f"w_{i}") for i in range(k)]
-    prior = [math.log(row.docs / docs) for row in classes]
-    return _score_texts(df, weights.select("token", *log_likelihood), F.lit(1.0), prior, classes)
+    logits = {
+        name: F.array(*[F.coalesce(c, F.lit(0.0)) + F.lit(b) for c, b in zip(columns[name], r.bias)])
+        for name, r in recipes.items()
+    }
+    return sums.select(*carried, *[value.alias(name) for name, value in logits.items()])
+
+
+def _classify(df: DataFrame, recipe: Callable[[DataFrame, list], Recipe]) -> DataFrame:
+    classes = text_classes(df)
+    weights = token_weights(df, classes)
+    scored = score_texts(df, weights, {"logits": recipe(weights, classes)}, classes)
+    prediction, score = predict("logits", classes)
+    return scored.withColumns({"prediction": prediction, "score": score})
+
+
+def keyword_classifier(df: DataFrame) -> DataFrame:
+    """Multinomial naive Bayes on ``(id, split, label, text)``."""
+    return _classify(df, keyword_recipe)
 
 
-def text_centroid_classifier(df: DataFrame, classes: list | None = None, weights: DataFrame | None = None) -> DataFrame:
+def text_centroid_classifier(df: DataFrame) -> DataFrame:
     """Nearest centroid of term frequencies on ``(id, split, label, text)``."""
-    classes = classes or text_classes(df)
-    weights = weights or token_weights(df, classes)
-    mean = [F.col(f"f_{i}") / row.docs for i, row in enumerate(classes)]
-    centroids = weights.select("token", *[m.alias(f"w_{i}") for i, m in enumerate(mean)])
-    squares = centroids.agg(*[F.sum(F.col(f"w_{i}") * F.col(f"w_{i}")) for i in range(len(classes))]).first()
-    bias = [-0.5 * (s or 0.0) for s in squares]
-    return _score_texts(df, centroids, F.try_divide(F.lit(1.0), F.size("w")), bias, classes)
+    return _classify(df, centroid_recipe)
 
 
 def centroid_classifier(df: DataFrame, features: str = "features") -> DataFrame:

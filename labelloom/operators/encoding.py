@@ -43,13 +43,14 @@ def build_vocab(
 ) -> DataFrame:
     """``(token, token_id, n)`` of the most frequent tokens; ids from 2, after padding and unknown.
 
-    The numbering runs over the ``max_size`` tokens that are left, in one task.
+    The numbering runs over the ``max_size`` tokens that are left, in one task. The vocabulary is
+    stored, since encoding and scoring read it again and again.
     """
     frequent = token_counts(df, tokenize=tokenize).filter(F.col("n") >= min_frequency)
     order = [F.col("n").desc(), F.col("token")]
     top = frequent.orderBy(*order).limit(max_size)
     nth = F.row_number().over(Window.orderBy(*order))
-    return top.select("token", (nth + UNKNOWN_ID).cast("long").alias("token_id"), "n")
+    return store(top.select("token", (nth + UNKNOWN_ID).cast("long").alias("token_id"), "n"), "vocabulary")
 
 
 def encode(
@@ -70,8 +71,7 @@ def encode(
     if max_tokens is not None:
         tokens = F.slice(tokens, 1, max_tokens)
     exploded = df.select(id_column, *keep, F.posexplode_outer(tokens).alias("pos", "token"))
-    known = store(vocab.select("token", "token_id"), "vocabulary")
-    looked_up = sized_join(exploded, known, ["token"], "left", spread_by=[id_column, "pos"])
+    looked_up = sized_join(exploded, vocab.select("token", "token_id"), ["token"], "left", spread_by=[id_column, "pos"])
     # Position and id in one number: a list of numbers sorts much faster than a list of structs.
     token_id = F.coalesce("token_id", F.lit(UNKNOWN_ID))
     item = F.when(F.col("token").isNotNull(), F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(token_id))

@@ -52,8 +52,13 @@ def _train_rows(df: DataFrame) -> DataFrame:
 def train_from_text(
     df: DataFrame, candidate: Candidate = Candidate(), num_features: int = TEXT_FEATURES
 ) -> PipelineModel:
-    """Learn every weight from the text of train: hashed term frequencies, IDF, linear layer."""
-    return Pipeline(stages=[*_text_stages(num_features), _classifier(candidate)]).fit(_train_rows(df))
+    """Learn every weight from the text of train: hashed term frequencies, IDF, linear layer.
+
+    The features are stored between the two, or the solver would split the texts again and again.
+    """
+    featurize = Pipeline(stages=_text_stages(num_features)).fit(_train_rows(df))
+    table = store(featurize.transform(_train_rows(df)).select("label", "features"), "features")
+    return PipelineModel(stages=[*featurize.stages, _classifier(candidate).fit(table)])
 
 
 def with_vectors(df: DataFrame, features: str = "features") -> DataFrame:

@@ -16,19 +16,19 @@ def _mean_loss(total: Column, tokens: Column) -> Column:
     return F.when(tokens > 0, total / tokens).otherwise(F.lit(float("inf")))
 
 
-def token_loss(df: DataFrame, pad: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """Loss and perplexity over rows ``(target, nll)``, without targets equal to the padding id."""
+def token_metrics(df: DataFrame, pad: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Loss, perplexity and accuracy over rows ``(target, prediction, nll)``, without targets equal
+    to the padding id. Accuracy is in percent, and 0 without rows.
+    """
     rows = df if pad is None else df.filter(F.col("target") != pad)
     loss = _mean_loss(F.sum("nll"), F.count("nll"))
-    return rows.groupBy(*(by or [])).agg(loss.alias("loss")).withColumn("perplexity", perplexity(F.col("loss")))
-
-
-def token_accuracy(df: DataFrame, pad: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """Percent of rows ``(target, prediction)`` predicted right, padding left out; 0 without rows."""
-    rows = df if pad is None else df.filter(F.col("target") != pad)
     hits = F.count_if(F.col("target") == F.col("prediction"))
     percent = F.when(F.count("*") > 0, 100 * hits / F.count("*")).otherwise(0.0)
-    return rows.groupBy(*(by or [])).agg(percent.alias("token_accuracy"))
+    return (
+        rows.groupBy(*(by or []))
+        .agg(loss.alias("loss"), percent.alias("token_accuracy"))
+        .withColumn("perplexity", perplexity(F.col("loss")))
+    )
 
 
 def unigram_token_losses(train: DataFrame, held_out: DataFrame, by: list[str] | None = None) -> DataFrame:

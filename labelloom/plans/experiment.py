@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.classifiers import keyword_classifier, text_centroid_classifier, text_classes, token_weights
+from ..operators.classifiers import (
+    centroid_recipe,
+    keyword_recipe,
+    predict,
+    score_texts,
+    text_classes,
+    token_weights,
+)
 from ..operators.compare import leaderboard
 from ..operators.metrics import classification_metrics
 from ..operators.scale import store
@@ -14,17 +21,15 @@ from ..operators.scale import store
 def experiment(df: DataFrame, dataset: str) -> DataFrame:
     """Validation and test metrics of the keyword and the centroid classifier, with test rank.
 
-    ``df`` has ``(id, split, label, text)``. Both recipes share one pass over train.
+    ``df`` has ``(id, split, label, text)``. Both recipes share one pass over train and one over
+    the held-out texts.
     """
     classes = text_classes(df)
     weights = token_weights(df, classes)
-    recipes = {"keywords": keyword_classifier, "centroids": text_centroid_classifier}
-    runs = None
-    for run_id, recipe in recipes.items():
-        scored = recipe(df.filter("split <> 'train'"), classes, weights).select(
-            F.lit(run_id).alias("run_id"), "split", "label", "prediction"
-        )
-        runs = scored if runs is None else runs.unionByName(scored)
+    recipes = {"keywords": keyword_recipe(weights, classes), "centroids": centroid_recipe(weights, classes)}
+    scored = score_texts(df.filter("split <> 'train'"), weights, recipes, classes)
+    each = [F.struct(F.lit(r).alias("run_id"), predict(r, classes)[0].alias("prediction")) for r in recipes]
+    runs = scored.select("split", "label", F.inline(F.array(*each)))
     metrics = store(classification_metrics(runs, ["run_id", "split"]), "run-metrics")
     test = metrics.filter("split = 'test'").withColumn("dataset", F.lit(dataset))
     best_val = metrics.filter("split = 'validation'").select("run_id", F.col("f1_macro").alias("best_val_f1"))

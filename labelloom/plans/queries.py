@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import classifiers, compare, encoding, history, metrics, models, profile, schema, splits, token_models
-from ..operators.scale import scratch_path, sized_join, store, widen
+from ..operators.scale import scratch_path, sized_join, widen
 from ..sources import datasets, runs
 from . import inputs
 from .experiment import experiment as run_experiment
@@ -319,7 +319,7 @@ def masked_token_metrics(spark, folder):
     """Each position predicted as the commonest token and scored with its train frequency;
     padding left out."""
     rows = inputs.split_documents(spark, folder)
-    vocab = store(encoding.build_vocab(_train(rows)), "vocabulary")
+    vocab = encoding.build_vocab(_train(rows))
     size = vocab.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
     fixed = encoding.encode_fixed(rows, vocab, keep=["lang"])
     positions = fixed.select("lang", F.explode("input_ids").alias("target"), F.lit(2).alias("prediction"))
@@ -327,8 +327,7 @@ def masked_token_metrics(spark, folder):
     looked_up = sized_join(positions, frequency, ["target"], "left")
     probability = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(size.tokens + size.distinct + 1))
     scored = looked_up.withColumn("nll", -F.log(probability))
-    accuracy = token_models.token_accuracy(scored, pad=0, by=["lang"])
-    return _rounded(accuracy.join(token_models.token_loss(scored, pad=0, by=["lang"]), "lang"))
+    return _rounded(token_models.token_metrics(scored, pad=0, by=["lang"]))
 
 
 @query

@@ -76,13 +76,12 @@ def test_batches(spark, monkeypatch, task_rows):
 
 def test_masked_loss_and_accuracy(spark):
     df = spark.createDataFrame([(5, 5, 1.0), (6, 5, 3.0), (0, 0, 100.0)], "target int, prediction int, nll double")
-    assert token_models.token_loss(df, pad=0).first().loss == 2.0
-    assert token_models.token_accuracy(df, pad=0).first()[0] == 50.0
-    assert round(token_models.token_accuracy(df).first()[0], 4) == 66.6667
-    nothing = df.filter("target = 0")
-    loss = token_models.token_loss(nothing, pad=0).first()
-    assert loss.loss == loss.perplexity == math.inf
-    assert token_models.token_accuracy(nothing, pad=0).first()[0] == 0.0
+    masked = token_models.token_metrics(df, pad=0).first()
+    assert (masked.loss, masked.perplexity, masked.token_accuracy) == (2.0, pytest.approx(math.exp(2)), 50.0)
+    every = token_models.token_metrics(df).first()
+    assert round(every.token_accuracy, 4) == 66.6667 and round(every.loss, 4) == 34.6667
+    nothing = token_models.token_metrics(df.filter("target = 0"), pad=0).first()
+    assert (nothing.loss, nothing.perplexity, nothing.token_accuracy) == (math.inf, math.inf, 0.0)
 
 
 def test_unigram_loss(corpus, join_kind):
