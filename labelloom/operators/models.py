@@ -120,14 +120,16 @@ def select_model(
         rows.append((number, candidate.reg_param, candidate.max_iter, f1))
         if f1 > best_f1:
             best_f1, best, best_model = f1, number, model
-    tried = df.sparkSession.createDataFrame(
-        rows, "candidate int, reg_param double, max_iter int, val_f1_macro double"
-    ).withColumn("best", F.coalesce(F.col("candidate") == F.lit(best).cast("int"), F.lit(False)))
-    metrics = ["accuracy", "f1_macro", "f1_weighted"]
-    if best_model is None:
-        return tried.select("*", *[F.lit(None).cast("double").alias(f"test_{m}") for m in metrics])
-    kept = save_and_reload(best_model, df)
-    test = classification_metrics(predict(kept, table.filter("split = 'test'")), ["split"]).select(
-        F.lit(True).alias("best"), *[F.col(m).alias(f"test_{m}") for m in metrics]
+    test = None
+    if best_model is not None:
+        kept = save_and_reload(best_model, df)
+        test = classification_metrics(predict(kept, table.filter("split = 'test'")), ["split"]).first()
+    measured = ["accuracy", "f1_macro", "f1_weighted"]
+    described = [
+        (*row, row[0] == best, *[test[m] if test and row[0] == best else None for m in measured]) for row in rows
+    ]
+    return df.sparkSession.createDataFrame(
+        described,
+        "candidate int, reg_param double, max_iter int, val_f1_macro double, best boolean, "
+        + ", ".join(f"test_{m} double" for m in measured),
     )
-    return tried.join(F.broadcast(test), "best", "left").select(*tried.columns, *[f"test_{m}" for m in metrics])

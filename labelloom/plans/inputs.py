@@ -43,7 +43,7 @@ def quality_documents(spark: SparkSession, folder: str) -> DataFrame:
     marks = table(spark, folder, "labels").select(
         "doc_id", F.col("quality").alias("class"), F.col("toxic").alias("category")
     )
-    return rows.join(marks, "doc_id")
+    return widen(rows.join(marks, "doc_id"), rows, "doc_id")
 
 
 def quality_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,10 +80,18 @@ def histories(spark: SparkSession, folder: str) -> DataFrame:
     return number_epochs(events, ["ts", "event_id"]).select("run_id", "epoch", "val_f1")
 
 
+def _as_loss(df: DataFrame) -> DataFrame:
+    """The score a hundredth of which is the loss, and itself the seconds of the epoch."""
+    return df.withColumns({"val_loss": F.col("val_f1") / 100, "epoch_time": F.col("val_f1")}).drop("val_f1")
+
+
 def loss_histories(spark: SparkSession, folder: str) -> DataFrame:
-    return histories(spark, folder).select(
-        "run_id", "epoch", (F.col("val_f1") / 100).alias("val_loss"), F.col("val_f1").alias("epoch_time")
-    )
+    return _as_loss(histories(spark, folder))
+
+
+def epoch_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``loss_histories``, for what does not depend on the epochs' order."""
+    return _as_loss(_events(spark, folder).select("run_id", F.col("value").alias("val_f1")))
 
 
 def accuracy_histories(spark: SparkSession, folder: str) -> DataFrame:

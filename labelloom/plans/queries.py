@@ -342,7 +342,7 @@ def epoch_loss(spark, folder):
 
 @query
 def run_summary(spark, folder):
-    return _rounded(history.run_summary(inputs.loss_histories(spark, folder)))
+    return _rounded(history.run_summary(inputs.epoch_losses(spark, folder)))
 
 
 # Run histories
