@@ -145,9 +145,8 @@ def split_overlap(df: DataFrame, text: str = "text") -> DataFrame:
     per_text = df.groupBy(F.sha2(F.col(text), 256).alias("text_hash")).agg(
         *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS]
     )
-    held_out = per_text.select(
-        (F.col("train") > 0).alias("seen"), F.inline(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("n")) for s in SPLITS[1:]]))
-    ).filter("n > 0")
+    sides = [F.struct(F.lit(s).alias("split"), F.col(s).alias("n")) for s in SPLITS[1:]]
+    held_out = per_text.select((F.col("train") > 0).alias("seen"), F.inline(F.array(*sides))).filter("n > 0")
     rows, seen = F.sum("n"), F.coalesce(F.sum(F.when(F.col("seen"), F.col("n"))), F.lit(0))
     return held_out.groupBy("split").agg(
         rows.alias("n"), seen.cast("long").alias("n_in_train"), (seen / rows).alias("share_in_train")
@@ -162,10 +161,8 @@ def split_drift(df: DataFrame) -> DataFrame:
     counts = df.groupBy("label").agg(
         *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in SPLITS]
     )
-    sizes = Window.partitionBy()
-    shares = counts.select(
-        "label", *[(F.col(s) / F.nullif(F.sum(s).over(sizes), F.lit(0))).alias(s) for s in SPLITS]
-    )
+    size = {s: F.nullif(F.sum(s).over(Window.partitionBy()), F.lit(0)) for s in SPLITS}
+    shares = counts.select("label", *[(F.col(s) / size[s]).alias(s) for s in SPLITS])
     return shares.unpivot(["label", "train"], SPLITS[1:], "split", "share").select(
         "split", "label", "share", F.col("train").alias("train_share"), (F.col("share") - F.col("train")).alias("drift")
     )

@@ -321,7 +321,8 @@ ORACLES: dict[str, str] = {
         best AS (
             SELECT previous, token FROM pairs WHERE split = 'train'
             QUALIFY row_number() OVER (PARTITION BY previous ORDER BY n DESC, token) = 1)
-        SELECT sum(n)::BIGINT AS tokens, round(100 * sum(CASE WHEN b.token = p.token THEN n ELSE 0 END) / sum(n), 6) AS token_accuracy
+        SELECT sum(n)::BIGINT AS tokens,
+               round(100 * sum(CASE WHEN b.token = p.token THEN n ELSE 0 END) / sum(n), 6) AS token_accuracy
         FROM pairs p LEFT JOIN best b ON b.previous = p.previous WHERE split <> 'train'""",
     "masked_token_metrics": f"""
         WITH {_ENCODED},
