@@ -10,16 +10,25 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import sys
+from array import array
 
 import numpy as np
 
-REMEMBERED_PARTS = 300_000
+REMEMBERED_PARTS = 600_000
 LONG_PART = 400
 SPACE_AFTER_SPACE = re.compile(r"\s ")
 BEFORE_SPACES = re.compile(r"(?<=\S)(?= )")
 LATIN = "ɐ"  # letters below this one belong to the same class in every Unicode version since 5
 
 
+def _packed(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder != "little":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Encoder:
     """``encode`` gives a text's ids as little-endian numbers of ``dtype``, without added tokens.
 
@@ -45,17 +54,15 @@ class Encoder:
             self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def _ids(self, part: str) -> bytes:
-        if self.quick and len(part) < LONG_PART and max(part) < LATIN:
-            ids = self.quick.encode_ordinary(part)
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        if self.quick and len(part) < LONG_PART and (part.isascii() or max(part) < LATIN):
+            return _packed(self.quick.encode_ordinary(part))
+        return _packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if SPACE_AFTER_SPACE.search(text):
             return b"".join(map(self._ids, BEFORE_SPACES.split(text)))
         first, *parts = text.split(" ")
