@@ -157,7 +157,7 @@ def within_radius(queries: DataFrame, values: DataFrame, radius: int = RADIUS, b
         & (F.bit_count(differ) <= radius)
         & (first == F.col("l.t"))
     )
-    return left.join(right, match).select("query", "value")
+    return left.hint("merge").join(right, match).select("query", "value")  # sizes before explode mislead the planner
 
 
 def query(spark, folder: str) -> DataFrame:
