@@ -10,6 +10,8 @@ fingerprints. Every step is a Spark join on the parent prefix, so no task holds
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +49,15 @@ def _walk(nodes: DataFrame, radius: int) -> DataFrame:
     for depth in DEPTHS:
         allowed = radius // 2 if depth <= 32 else radius
         step = nodes.select(_prefix(F.col("bits"), depth).alias("node")).distinct()
-        if depth > above > 0:
-            step = step.withColumn("up", F.shiftrightunsigned("node", depth - above))
-        else:
-            step = step.withColumn("up", F.lit(0).cast("long"))
-        left = step.select(F.col("up").alias("x"), F.col("node").alias("a"))
-        right = step.select(F.col("up").alias("y"), F.col("node").alias("b"))
-        if pairs is None:
-            found = left.join(right, (F.col("x") == F.col("y")) & _close("a", "b", allowed))
+        if pairs is None:  # the root's pairs: each of the few nodes asks for those that it may meet
+            flips = [sum(1 << i for i in c) for n in range(allowed + 1) for c in itertools.combinations(range(depth), n)]
+            asked = F.explode(F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: F.col("a").bitwiseXOR(f)))
+            left = step.select(F.col("node").alias("a")).select("a", asked.alias("b"))
+            found = left.join(step.select(F.col("node").alias("b")), "b").filter("a <= b")
         else:
+            up = F.shiftrightunsigned("node", depth - above)
+            left = step.select(up.alias("x"), F.col("node").alias("a"))
+            right = step.select(up.alias("y"), F.col("node").alias("b"))
             found = pairs.join(left, "x").join(right, (pairs["y"] == right["y"]) & _close("a", "b", allowed))
         pairs = found.select(F.col("a").alias("x"), F.col("b").alias("y"))
         above = depth
@@ -112,8 +114,7 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Documents without near duplicates of smaller id; of repeated ids one row stays, null ids all stay."""
+    """Documents without near duplicates of smaller id; rows with one id go or stay together, null ids stay."""
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept
+    return docs.join(gone, "doc_id", "left_anti")
