@@ -65,19 +65,20 @@ def winnow(codes: np.ndarray, least: int = WINDOW_WORDS) -> list[int]:
     return sorted(chosen)
 
 
-def stretches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int = WINDOW_WORDS) -> list[tuple[int, int]]:
-    """Stretches ``[start, end)`` of ``a`` that equal one of ``b`` around a seed and have enough words."""
-    a, b, found, done = a.tolist(), b.tolist(), [], {}
+def stretches(a, b, seeds: list[tuple[int, int]], least: int = WINDOW_WORDS) -> list[tuple[int, int]]:
+    """Stretches ``[start, end)`` of codes ``a`` that equal one of ``b`` around a seed and have enough words."""
+    found, done = [], {}
     for p, q in sorted(seeds):
-        if p < done.get(p - q, 0):
+        back = p - q
+        if p < done.get(back, 0):
             continue
         start, end = p, p + 1
-        while start > 0 and start > p - q and a[start - 1] == b[start - 1 - (p - q)]:
+        while start > 0 and start > back and a[start - 1] == b[start - 1 - back]:
             start -= 1
-        while end < len(a) and end - (p - q) < len(b) and a[end] == b[end - (p - q)]:
+        while end < len(a) and end - back < len(b) and a[end] == b[end - back]:
             end += 1
-        done[p - q] = end
-        if sum(code & 0xFFFF for code in a[start:end]) >= least:
+        done[back] = end
+        if sum(a[i] & 0xFFFF for i in range(start, end)) >= least:
             found.append((start, end))
     return found
 
@@ -103,62 +104,75 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            codes = [unit_codes(t).astype("<u8").tobytes() for t in batch["text"]]
+            codes = [unit_codes(t).astype("=u8").tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "body": batch["body"], "codes": codes})
 
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, body, raw in zip(batch["doc_id"], batch["body"], batch["codes"]):
-                codes = np.frombuffer(raw, "<u8")
-                rows += [(doc_id, body, place, codes[place].astype(np.int64)) for place in winnow(codes, least)]
-            yield pd.DataFrame(rows, columns=["doc_id", "body", "place", "code"])
+            codes = [np.frombuffer(raw, "=u8") for raw in batch["codes"]]
+            chosen = [winnow(x, least) for x in codes]
+            n = [len(x) for x in chosen]
+            yield pd.DataFrame(
+                {
+                    "doc_id": np.repeat(batch["doc_id"].to_numpy(), n),
+                    "place": np.array([p for x in chosen for p in x], np.int32),
+                    "code": np.concatenate([x[p] for x, p in zip(codes, chosen)] or [[]]).astype("=u8").view("=i8"),
+                }
+            )
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, body, a, b, seeds in zip(batch["doc_id"], batch["body"], batch["codes"], batch["from_codes"], batch["seeds"]):
-                pairs = [(s["place"], s["first_place"]) for s in seeds]
-                spans = stretches(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), pairs, least)
-                rows += [(doc_id, body, start, end) for start, end in spans]
-            yield pd.DataFrame(rows, columns=["doc_id", "body", "start", "stop"])
+            ids, starts, ends = [], [], []
+            for doc_id, a, b, seeds in zip(batch["doc_id"], batch["codes"], batch["from_codes"], batch["seeds"]):
+                pairs = [(s >> 32, s & 0xFFFFFFFF) for s in seeds.tolist()]
+                for start, end in stretches(memoryview(a).cast("Q"), memoryview(b).cast("Q"), pairs, least):
+                    ids.append(doc_id)
+                    starts.append(start)
+                    ends.append(end)
+            yield pd.DataFrame({"doc_id": ids, "start": starts, "stop": ends})
 
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text"
     )
-    cutted = C.stored(known.mapInPandas(units, "doc_id long, body long, codes binary"), "units")
+    cutted = known.mapInPandas(units, "doc_id long, body long, codes binary")
+    cutted = C.stored(
+        cutted.groupBy("doc_id").agg(F.min(F.struct("body", "codes")).alias("x")).select("doc_id", "x.*"), "units"
+    )
     prints = C.stored(
-        cutted.mapInPandas(fingerprints, "doc_id long, body long, place int, code long"), "line-fingerprints"
+        cutted.select("doc_id", "codes").mapInPandas(fingerprints, "doc_id long, place int, code long"),
+        "line-fingerprints",
     )
     first = C.stored(
         prints.groupBy("code")
-        .agg(F.min(F.struct("doc_id", "body", "place")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("code", "first"),
+        .select("code", F.col("first.doc_id").alias("from_id"), F.col("first.place").alias("first_place"), "n"),
         "first-places",
     )
+    counts = first.select("code", F.col("n").alias("count"))
+    seed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("first_place").cast("long"))
     seeds = (
-        sized_join(prints, first, ["code"], spread_by=["doc_id", "place"])
-        .filter(F.struct("doc_id", "body", "place") != F.col("first"))
-        .groupBy("doc_id", "body", F.col("first.doc_id").alias("from_id"), F.col("first.body").alias("from_body"))
-        .agg(F.collect_set(F.struct("place", F.col("first.place").alias("first_place"))).alias("seeds"))
-    )
-    own = cutted.dropDuplicates(["doc_id", "body"])
-    source = own.select(
-        F.col("doc_id").alias("from_id"), F.col("body").alias("from_body"), F.col("codes").alias("from_codes")
+        sized_join(prints, first.drop("n"), ["code"], spread_by=["doc_id", "place"], counts=counts)
+        .filter("doc_id != from_id OR place != first_place")
+        .groupBy("doc_id", "from_id")
+        .agg(F.collect_set(seed).alias("seeds"))
     )
-    matched = seeds.join(own, ["doc_id", "body"]).join(source, ["from_id", "from_body"])
-    spans = matched.select("doc_id", "body", "codes", "from_codes", "seeds").mapInPandas(
-        extend, "doc_id long, body long, start int, stop int"
+    own = cutted.select("doc_id", "codes")
+    source = cutted.select(F.col("doc_id").alias("from_id"), F.col("codes").alias("from_codes"))
+    matched = seeds.join(source, "from_id").join(own, "doc_id")
+    spans = matched.select("doc_id", "codes", "from_codes", "seeds").mapInPandas(
+        extend, "doc_id long, start int, stop int"
     )
-    return spans.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    gone = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    return gone.join(cutted.select("doc_id", "body"), "doc_id")
 
 
 def dedup_lines(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     """All columns of ``docs`` with later repeated stretches cut from ``text``, and ``_removed`` units.
 
     Null texts and rows with a null doc_id are left as they are. Rows that repeat both id and text
-    are one document and stay alike; rows that repeat the id only come in order of a text hash.
+    are one document and stay alike; of rows that repeat the id with other texts the one with the
+    smallest text hash takes part and the others are left as they are.
     """
     gone = deleted_stretches(docs, least).select(
         F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("gone").alias("_gone")
