@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ LOW = 0x0000000100000001
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    # Python workers started in another folder find this package too
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
