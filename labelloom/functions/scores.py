@@ -14,9 +14,14 @@ def argmax(logits: Column) -> Column:
 
 
 def log_sum_exp(logits: Column) -> Column:
-    """Shifted by the maximum, so that large scores stay finite."""
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda total, x: total + F.exp(x - top)))
+    """Shifted by the maximum, so that large scores stay finite.
+
+    The maximum is held beside the scores in a struct; named inside the sum it would be found anew
+    for every score.
+    """
+    held = F.array(F.struct(logits.alias("x"), F.array_max(logits).alias("top")))
+    shifted = lambda s: F.aggregate(s["x"], F.lit(0.0), lambda total, x: total + F.exp(x - s["top"]))
+    return F.transform(held, lambda s: s["top"] + F.log(shifted(s)))[0]
 
 
 def cross_entropy(logits: Column, label: Column, smoothing: float = 0.0) -> Column:

@@ -29,7 +29,7 @@ class Candidate:
     max_iter: int = 20
 
 
-# The small grid that select_model tries by default.
+# The small grid that select_model tries by default.
 CANDIDATES = [Candidate(0.1, 10), Candidate(0.01, 20), Candidate(0.001, 20)]
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import preview, word_count
 from .schema import decode_label
 
-# Rows looked at for text statistics, and the longest recommended length.
-STATS_ROWS = 1000
+# Fixed value: the longest recommended length.
 LONGEST_RECOMMENDED = 512
 
 
@@ -32,8 +31,8 @@ def head(df: DataFrame, n: int, id_column: str = "id") -> DataFrame:
     return df.orderBy(id_column).limit(n)
 
 
-def text_stats(train: DataFrame, sample: int | None = STATS_ROWS, id_column: str = "id") -> DataFrame:
-    """Mean, least and most words of the first ``sample`` texts (``None``: of all), and the
+def text_stats(train: DataFrame, sample: int | None = None, id_column: str = "id") -> DataFrame:
+    """Mean, least and most words of all texts, or on request of the first ``sample``, and the
     sequence length recommended from them. An empty table gives nulls.
     """
     rows = train if sample is None else head(train, sample, id_column)

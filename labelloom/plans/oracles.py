@@ -197,7 +197,7 @@ ORACLES: dict[str, str] = {
         WITH {_SPLIT},
         lengths AS (
             SELECT len({_words()}) AS n FROM
-            (SELECT text FROM ds_split WHERE split = 'train' ORDER BY id LIMIT 1000)),
+            (SELECT text FROM ds_split WHERE split = 'train')),
         stats AS (SELECT {_STATS} FROM lengths)
         SELECT 'documents' AS dataset_name, count(DISTINCT lang)::INTEGER AS num_classes,
                string_agg(DISTINCT lang, ',' ORDER BY lang) AS class_names, 'text' AS text_column,
@@ -291,7 +291,7 @@ ORACLES: dict[str, str] = {
         WITH {_SPLIT}
         SELECT {_STATS} FROM (
             SELECT len({_words()}) AS n FROM
-            (SELECT text FROM ds_split WHERE split = 'train' ORDER BY id LIMIT 1000))""",
+            (SELECT text FROM ds_split WHERE split = 'train'))""",
     "text_stats_full": f"""
         WITH {_SPLIT} SELECT {_STATS} FROM (SELECT len({_words()}) AS n FROM ds_split WHERE split = 'train')""",
     "confusion_matrix": f"WITH {_PRED} SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction",
@@ -391,8 +391,8 @@ ORACLES: dict[str, str] = {
         long AS (
             SELECT run_id, 'f1_macro' AS metric, f1_macro AS value, 1 AS sign FROM runs
             UNION ALL SELECT run_id, 'training_time_minutes', training_time_minutes, -1 FROM runs
-            UNION ALL SELECT run_id, 'epochs', epochs::DOUBLE, 1 FROM runs
-            UNION ALL SELECT run_id, 'trainable_parameters', trainable_parameters::DOUBLE, 1 FROM runs)
+            UNION ALL SELECT run_id, 'epochs', epochs::DOUBLE, 0 FROM runs
+            UNION ALL SELECT run_id, 'trainable_parameters', trainable_parameters::DOUBLE, 0 FROM runs)
         SELECT a.metric, a.value AS value_a, b.value AS value_b, round(a.value - b.value, 6) AS difference,
                CASE WHEN a.sign * (a.value - b.value) > 0 THEN 'view'
                     WHEN a.sign * (a.value - b.value) < 0 THEN 'click' END AS winner

@@ -49,14 +49,16 @@ def _joined(ids: str) -> Column:
 @query
 def load_splits(spark, folder):
     paths = {"train": "documents", "validation": "conversations", "test": "benchmark"}
-    loaded = datasets.load_splits(spark, {s: f"{folder}/{t}.parquet" for s, t in paths.items()})
+    own = ["doc_id", "lang", "source", "n_chars", "conv_id", "turn", "role", "item_id"]
+    loaded = datasets.load_splits(spark, {s: f"{folder}/{t}.parquet" for s, t in paths.items()}, optional=own)
     return loaded.select("split", "text")
 
 
 @query
 def resolve_splits(spark, folder):
     paths = {"train": f"{folder}/documents.parquet", "val": f"{folder}/conversations.parquet"}
-    loaded = datasets.load_splits(spark, paths)
+    own = ["doc_id", "lang", "source", "n_chars", "conv_id", "turn", "role"]
+    loaded = datasets.load_splits(spark, paths, optional=own)
     keyed = loaded.select(F.coalesce("doc_id", F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "split")
     return splits.resolve_splits(keyed, set(paths)).select("id", "split")
 

@@ -14,11 +14,21 @@ METADATA_SCHEMA = """
 """
 
 
-def load_splits(spark: SparkSession, paths: dict[str, str], format: str = "parquet") -> DataFrame:
-    """The files of each named split in one table with a ``split`` column; train must be there."""
+def load_splits(
+    spark: SparkSession, paths: dict[str, str], format: str = "parquet", optional: list[str] | None = None
+) -> DataFrame:
+    """The files of each named split in one table with a ``split`` column; train must be there.
+
+    A column that one split has and another lacks is an error, unless it is named in ``optional``
+    and so filled with nulls.
+    """
     if "train" not in paths:
         raise ValueError(f"a train split is needed, got {sorted(paths)}")
     splits = [spark.read.format(format).load(path).withColumn("split", F.lit(name)) for name, path in paths.items()]
+    needed = {c for df in splits for c in df.columns} - set(optional or [])
+    for name, df in zip(paths, splits):
+        if lacking := sorted(needed - set(df.columns)):
+            raise ValueError(f"split {name} lacks {lacking}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), splits)
 
 

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import compare, history, scale
 
-# Validation F1 and accuracies of two recorded runs.
-EARLY = [0.897950, 0.921682, 0.914357, 0.911914, 0.904521, 0.907538, 0.905791, 0.904602, 0.899002, 0.897432, 0.899221, 0.901839]
-STEADY = [0.871970, 0.900075, 0.904631, 0.907570, 0.911635, 0.914015, 0.915061, 0.916226, 0.915604, 0.915780]
+# A plateau below an early best, and steady growth that ends with a tie.
+EARLY = [0.5, 0.7, *[0.6] * 9, 0.65]
+STEADY = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.75, 0.8]
 
 
 def runs(spark, **series):
@@ -24,9 +24,9 @@ def by_epoch(df, run, column):
     return [r[column] for r in df.filter(F.col("run_id") == run).orderBy("epoch").collect()]
 
 
-def test_recorded_runs(spark, rows, both_ways):
+def test_plateau_and_tie(spark, rows, both_ways):
     df = runs(spark, early=EARLY, steady=STEADY)
-    assert rows(history.best_epoch(df)) == [("early", 2, 0.921682), ("steady", 8, 0.916226)]
+    assert rows(history.best_epoch(df)) == [("early", 2, 0.7), ("steady", 8, 0.8)]
     streaks = history.improvement_streak(df)
     assert by_epoch(streaks, "early", "improved") == [True, True] + [False] * 10
     assert by_epoch(streaks, "early", "streak") == [0, 0, *range(1, 11)]
@@ -102,8 +102,8 @@ def test_curves_checkpoints_and_summary(spark, rows):
 def results(spark):
     return spark.createDataFrame(
         [
-            ("early", "news", 0.919187, 0.524896, 5.952806, 10985092, 10985092, 12),
-            ("steady", "news", 0.915295, 0.244591, 23.868560, 814080, 125256960, 10),
+            ("early", "news", 0.75, 0.5, 6.0, 1000, 1000, 12),
+            ("steady", "news", 0.5, 0.25, 24.0, 20, 1000, 10),
             ("other", "mail", 0.5, 0.1, 60.0, 1, 2, 70),
         ],
         "run_id string, dataset string, f1_macro double, loss double, training_time_minutes double, "
@@ -115,16 +115,39 @@ def test_compare_runs(results):
     measured = ["f1_macro", "loss", "training_time_minutes"]
     got = {r.metric: r for r in compare.compare_runs(results, "early", "steady", measured).collect()}
     assert got["f1_macro"].winner == got["training_time_minutes"].winner == "early"
-    assert round(got["f1_macro"].difference, 6) == 0.003892 and got["loss"].winner is None
+    assert round(got["f1_macro"].difference, 6) == 0.25 and got["loss"].winner is None
     same = {r.metric: r for r in compare.compare_runs(results, "early", "steady", measured, same_loss=True).collect()}
     assert same["loss"].winner == "steady"
+    counted = {r.metric: r.winner for r in compare.compare_runs(results, "early", "steady", ["epochs", "trainable_parameters"]).collect()}
+    assert counted == {"epochs": None, "trainable_parameters": None}
+    by_request = compare.compare_runs(results, "early", "steady", ["epochs"], directions={"epochs": "lower"})
+    assert by_request.first().winner == "steady"
+
+
+def test_kinds_of_loss(spark):
+    df = spark.createDataFrame([("a", 0.2, 0.4), ("b", 0.1, 0.3)], "run_id string, val_loss double, perplexity double")
+    assert {r.winner for r in compare.compare_runs(df, "a", "b", ["val_loss", "perplexity"]).collect()} == {None}
+    assert {r.winner for r in compare.compare_runs(df, "a", "b", ["val_loss", "perplexity"], same_loss=True).collect()} == {"b"}
+
+
+def test_zero_minutes(spark):
+    df = spark.createDataFrame([("a", 0.0, 0, 0, 3)], "run_id string, training_time_minutes double, trainable_parameters long, total_parameters long, epochs int")
+    got = compare.run_efficiency(df, 5).first()
+    assert got.ratio_to_fastest is None and got.trainable_share is None and got.epochs_saved == 2
+
+
+def test_leaderboard_keeps_every_run(spark):
+    data = [("d", "a", 0.5), ("d", "b", None), ("d", "c", float("nan")), (None, "e", 0.1)]
+    df = spark.createDataFrame(data, "dataset string, run_id string, f1_macro double")
+    got = {r.run_id: r["rank"] for r in compare.leaderboard(df).collect()}
+    assert got == {"a": 1, "b": 2, "c": 2, "e": 1}
 
 
 def test_run_efficiency(results):
     got = {r.run_id: r for r in compare.run_efficiency(results, planned_epochs=50).collect()}
     assert round(got["steady"].ratio_to_fastest, 1) == 4.0 and round(got["steady"].cost, 2) == 0.60
     assert round(got["early"].cost, 2) == 0.15 and got["early"].epochs_saved == 38 and got["other"].epochs_saved == 0
-    assert round(got["steady"].trainable_share, 4) == 0.0065
+    assert got["steady"].trainable_share == 0.02
 
 
 def test_leaderboard_shares_ranks(spark, rows, both_ways):

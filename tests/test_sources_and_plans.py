@@ -16,7 +16,9 @@ def write(path, text):
 
 def test_load_splits(spark, tmp_path):
     a, b = write(tmp_path / "a.json", '{"text": "x", "label": 1}\n'), write(tmp_path / "b.json", '{"text": "y", "more": 2}\n')
-    df = datasets.load_splits(spark, {"train": a, "val": b}, format="json")
+    with pytest.raises(ValueError, match="train lacks"):
+        datasets.load_splits(spark, {"train": a, "val": b}, format="json", optional=["label"])
+    df = datasets.load_splits(spark, {"train": a, "val": b}, format="json", optional=["label", "more"])
     assert {(r.split, r.text, r.label, r.more) for r in df.collect()} == {("train", "x", 1, None), ("val", "y", None, 2)}
     with pytest.raises(ValueError, match="train"):
         datasets.load_splits(spark, {"test": a})
