@@ -20,7 +20,7 @@ from labelloom.llm.components import component_ids
 
 RADIUS = 3
 SHINGLE = 3
-DEPTHS = (8, 16, 20, 24, 28, 32, 48, 64)
+DEPTHS = (8, 16, 24, 32, 48, 64)
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -44,22 +44,26 @@ def _prefix(bits: Column, depth: int) -> Column:
 
 
 def _walk(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs ``(x, y)`` of values within the radius whose first halves are within ``radius // 2``."""
+    """Pairs ``(trie, x, y)`` of values within the radius whose first halves are within ``radius // 2``.
+
+    ``nodes`` has ``trie, bits``; both tries are walked in the same joins.
+    """
     pairs, above = None, 0
     for depth in DEPTHS:
         allowed = radius // 2 if depth <= 32 else radius
-        step = nodes.select(_prefix(F.col("bits"), depth).alias("node")).distinct()
+        step = nodes.select("trie", _prefix(F.col("bits"), depth).alias("node")).distinct()
         if pairs is None:  # the root's pairs: each of the few nodes asks for those that it may meet
             flips = [sum(1 << i for i in c) for n in range(allowed + 1) for c in itertools.combinations(range(depth), n)]
             asked = F.explode(F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: F.col("a").bitwiseXOR(f)))
-            left = step.select(F.col("node").alias("a")).select("a", asked.alias("b"))
-            found = left.join(step.select(F.col("node").alias("b")), "b").filter("a <= b")
+            left = step.select("trie", F.col("node").alias("a")).select("trie", "a", asked.alias("b"))
+            found = left.join(step.withColumnRenamed("node", "b"), ["trie", "b"]).filter("a <= b")
         else:
             up = F.shiftrightunsigned("node", depth - above)
-            left = step.select(up.alias("x"), F.col("node").alias("a"))
-            right = step.select(up.alias("y"), F.col("node").alias("b"))
-            found = pairs.join(left, "x").join(right, (pairs["y"] == right["y"]) & _close("a", "b", allowed))
-        pairs = found.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            left = step.select("trie", up.alias("x"), F.col("node").alias("a"))
+            right = step.select(F.col("trie").alias("of"), up.alias("up"), F.col("node").alias("b"))
+            same = (F.col("trie") == F.col("of")) & (F.col("y") == F.col("up"))
+            found = pairs.join(left, ["trie", "x"]).join(right, same & _close("a", "b", allowed))
+        pairs = found.select("trie", F.col("a").alias("x"), F.col("b").alias("y"))
         above = depth
     return pairs
 
@@ -74,12 +78,12 @@ def trie_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs ``(x, y)`` of different distinct ``fingerprint`` values within the radius, once each."""
     if not 0 <= radius <= 63:
         raise ValueError("radius must be between 0 and 63")
-    upper = values.select(F.col("fingerprint").alias("bits"))
     turned = lambda c: F.shiftleft(c, 32).bitwiseOR(F.shiftrightunsigned(c, 32))
-    first = _walk(upper, radius)
-    second = _walk(upper.select(turned(F.col("bits")).alias("bits")), radius)
-    second = second.select(turned(F.col("x")).alias("x"), turned(F.col("y")).alias("y"))
-    both = first.unionByName(second).filter("x != y")
+    bits = F.col("fingerprint")
+    tries = F.array(F.struct(F.lit(0).alias("trie"), bits.alias("bits")), F.struct(F.lit(1).alias("trie"), turned(bits).alias("bits")))
+    found = _walk(values.select(F.inline(tries)), radius).filter("x != y")
+    back = lambda name: F.when(F.col("trie") == 0, F.col(name)).otherwise(turned(F.col(name)))
+    both = found.select(back("x").alias("x"), back("y").alias("y"))
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
