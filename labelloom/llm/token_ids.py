@@ -1,8 +1,9 @@
 """Token ids of whole texts with a byte-level BPE of the tokenizers library.
 
 A text is cut before each space that follows a non-space; the tokenizer's own rules cut there too,
-so the ids of the parts, joined, are those of the text. Parts repeat a lot and are encoded once
-while a worker's bounded memory lasts. A text with the string of a special token is encoded in one go.
+so the ids of the parts, joined, are those of the text. Parts repeat a lot, so a worker remembers them in
+two generations of bounded size: what was used while the younger one filled up outlives the older
+one, and parts met once are soon forgotten. A text with the string of a special token is encoded in one go.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from array import array
 
 import numpy as np
 
-REMEMBERED_PARTS = 600_000
+REMEMBERED_PARTS = 60_000
 LONG_PART = 400
 SPACE_AFTER_SPACE = re.compile(r"\s ")
 BEFORE_SPACES = re.compile(r"(?<=\S)(?= )")
@@ -45,6 +46,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.quick = None
         if ranks:
             import tiktoken
@@ -69,9 +71,10 @@ class Encoder:
         new = set(parts).difference(self.known)
         if new:
             if len(self.known) + len(new) > self.remembered:
-                self.known = {}
+                self.known, self.older = {}, self.known
                 new = set(parts)
-            self.known.update((part, self._ids(" " + part)) for part in new)
+            older = self.older
+            self.known.update((part, older[part] if part in older else self._ids(" " + part)) for part in new)
         return (self._ids(first) if first else b"") + b"".join(map(self.known.__getitem__, parts))
 
 
