@@ -83,6 +83,17 @@ def stretches(a, b, seeds: list[tuple[int, int]], least: int = WINDOW_WORDS) ->
     return found
 
 
+def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places in stretches that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
     """The text without the units of those places, and their number."""
     delete = {i for start, end in gone for i in range(start, end)}
@@ -121,15 +132,14 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
             )
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one row for each pair of documents, however often they share a line; a stretch is a start and a stop
         for batch in batches:
-            ids, starts, ends = [], [], []
-            for doc_id, a, b, seeds in zip(batch["doc_id"], batch["codes"], batch["from_codes"], batch["seeds"]):
+            spans = []
+            for a, b, seeds in zip(batch["codes"], batch["from_codes"], batch["seeds"]):
                 pairs = [(s >> 32, s & 0xFFFFFFFF) for s in seeds.tolist()]
-                for start, end in stretches(memoryview(a).cast("Q"), memoryview(b).cast("Q"), pairs, least):
-                    ids.append(doc_id)
-                    starts.append(start)
-                    ends.append(end)
-            yield pd.DataFrame({"doc_id": ids, "start": starts, "stop": ends})
+                found = stretches(memoryview(a).cast("Q"), memoryview(b).cast("Q"), pairs, least)
+                spans.append([{"start": start, "stop": stop} for start, stop in joined(found)])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
 
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text"
@@ -161,9 +171,13 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     source = cutted.select(F.col("doc_id").alias("from_id"), F.col("codes").alias("from_codes"))
     matched = seeds.join(source, "from_id").join(own, "doc_id")
     spans = matched.select("doc_id", "codes", "from_codes", "seeds").mapInPandas(
-        extend, "doc_id long, start int, stop int"
+        extend, "doc_id long, spans array<struct<start: int, stop: int>>"
+    )
+    gone = (
+        spans.filter(F.size("spans") > 0)
+        .groupBy("doc_id")
+        .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("gone"))
     )
-    gone = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     return gone.join(cutted.select("doc_id", "body"), "doc_id")
 
 
