@@ -13,11 +13,15 @@ from labelloom.operators.scale import scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOW = 0x0000000100000001
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 500  # whole texts sent to a Python worker at a time, unless the session says otherwise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     # Python workers started in another folder find this package too
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if spark.conf.get(BATCH) == "10000":  # Spark's default, too many for long texts
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
