@@ -25,6 +25,8 @@ from labelloom.llm import common as C
 from labelloom.operators.scale import sized_join
 
 WINDOW_WORDS = 8
+BROADCAST_BYTES = 4 * 1024 * 1024
+HOT_ROWS = 20_000
 BREAK = re.compile(r"(\n|(?<=[.!?]) +)")
 
 
@@ -162,7 +164,9 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     counts = first.select("code", F.col("n").alias("count"))
     seed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("first_place").cast("long"))
     seeds = (
-        sized_join(prints, first.drop("n"), ["code"], spread_by=["doc_id", "place"], counts=counts)
+        sized_join(
+            prints, first.drop("n"), ["code"], "inner", ["doc_id", "place"], counts, BROADCAST_BYTES, HOT_ROWS
+        )
         .filter("doc_id != from_id OR place != first_place")
         .groupBy("doc_id", "from_id")
         .agg(F.collect_set(seed).alias("seeds"))
