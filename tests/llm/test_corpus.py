@@ -442,3 +442,18 @@ def test_pipeline(spark):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     packed(rows, packing.CAPACITY)
+
+
+def test_stretches_are_joined_when_they_overlap_or_touch():
+    assert line_dedup.joined([]) == []
+    assert line_dedup.joined([(5, 7), (0, 2), (2, 3), (6, 9), (6, 9)]) == [(0, 3), (5, 9)]
+
+
+def test_encoder_that_forgets_gives_the_ids_of_the_tokenizer():
+    from labelloom.llm import token_ids
+
+    files = token_ids.public_files()
+    forgetful = token_ids.Encoder(*files, remembered=3)
+    for text in ("a b a c d e a f g", "", "b b b", "one two three four five", "a f one b"):
+        want = forgetful.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(forgetful.encode(text), "<u4").tolist() == want
