@@ -33,6 +33,12 @@ def truncate_pad(ids: Column, max_length: int = 128, pad: int = PAD_ID) -> Colum
     return F.slice(F.concat(ids, filler), 1, max_length)
 
 
+def pad_blocks(ids: Column, block: int = 128, pad: int = PAD_ID) -> Column:
+    """All ids, filled up with the padding id to full blocks; no ids give one block of padding."""
+    missing = F.when(F.size(ids) == 0, block).otherwise(F.pmod(-F.size(ids), F.lit(block)))
+    return F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), missing))
+
+
 def attention_mask(ids: Column, pad: int = PAD_ID) -> Column:
     """1 where the id is not the padding id, else 0: decided by value, not by position."""
     return F.transform(ids, lambda i: F.when(i != pad, 1).otherwise(0))

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
 from ..functions.text import UNKNOWN_ID, attention_mask, truncate_pad, words
-from .scale import running, sized_join, spread, store
+from .scale import TASK_ROWS, number, running, sized_join, spread, store
 
-# Vocabulary limits, sequence length and batch size.
-MIN_FREQUENCY = 2
-MAX_VOCABULARY = 10_000
+# Sequence length and batch size.
 MAX_LENGTH = 128
 BATCH_SIZE = 32
 
@@ -39,18 +37,23 @@ def token_counts(df: DataFrame, by: list[str] | None = None, tokenize: Tokenizer
 
 
 def build_vocab(
-    df: DataFrame, min_frequency: int = MIN_FREQUENCY, max_size: int = MAX_VOCABULARY, tokenize: Tokenizer = words
+    df: DataFrame,
+    min_frequency: int = 1,
+    max_size: int | None = None,
+    tokenize: Tokenizer = words,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """``(token, token_id, n)`` of the most frequent tokens; ids from 2, after padding and unknown.
+    """``(token, token_id, n)`` of all tokens, the commonest first; ids from 2, after padding and unknown.
 
-    The numbering runs over the ``max_size`` tokens that are left, in one task. The vocabulary is
-    stored, since encoding and scoring read it again and again.
+    ``min_frequency`` and ``max_size`` leave out rare tokens on request. More than ``task_rows``
+    tokens are numbered in several tasks. The vocabulary is stored, since encoding and scoring read
+    it again and again.
     """
-    frequent = token_counts(df, tokenize=tokenize).filter(F.col("n") >= min_frequency)
-    order = [F.col("n").desc(), F.col("token")]
-    top = frequent.orderBy(*order).limit(max_size)
-    nth = F.row_number().over(Window.orderBy(*order))
-    return store(top.select("token", (nth + UNKNOWN_ID).cast("long").alias("token_id"), "n"), "vocabulary")
+    counted = token_counts(df, tokenize=tokenize).filter(F.col("n") >= min_frequency)
+    numbered = number(store(counted, "token-counts"), [F.col("n").desc(), F.col("token")], "_nth", task_rows)
+    if max_size is not None:
+        numbered = numbered.filter(F.col("_nth") <= max_size)
+    return store(numbered.select("token", (F.col("_nth") + UNKNOWN_ID).alias("token_id"), "n"), "vocabulary")
 
 
 def encode(

@@ -78,9 +78,11 @@ def generalization_gap(df: DataFrame, metric: str = "val_f1", run: str = "run_id
 
 
 def val_test_gap(df: DataFrame, results: DataFrame, run: str = "run_id") -> DataFrame:
-    """Last validation accuracy minus test accuracy; both sides have one row per run."""
-    last = df.groupBy(run).agg(F.max_by("val_acc", "epoch").alias("val_acc"))
-    return last.join(results.select(run, "test_acc"), run).withColumn("gap", F.col("val_acc") - F.col("test_acc"))
+    """Last recorded validation accuracy minus test accuracy, for every run of either side; what one
+    side lacks is null. ``results`` has one row per run."""
+    recorded = F.when(F.col("val_acc").isNotNull(), F.col("epoch"))
+    last = df.groupBy(run).agg(F.max_by("val_acc", recorded).alias("val_acc"))
+    return last.join(results.select(run, "test_acc"), run, "full").withColumn("gap", F.col("val_acc") - F.col("test_acc"))
 
 
 def history_curves(df: DataFrame, metrics: list[str], run: str = "run_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -37,28 +38,30 @@ def _classifier(candidate: Candidate) -> LogisticRegression:
     return LogisticRegression(maxIter=candidate.max_iter, regParam=candidate.reg_param)
 
 
-def _text_stages(num_features: int) -> list:
-    return [
+def _train_rows(df: DataFrame) -> DataFrame:
+    return df.filter("split = 'train'")
+
+
+def _text_features(df: DataFrame, num_features: int) -> tuple[DataFrame, list]:
+    """Stored ``counts`` of hashed words of each text with their IDF-weighted ``features``, and the
+    stages that make them. The texts are split once; the IDF is that of train.
+    """
+    stages = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=WHITESPACE, toLowercase=False),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=num_features),
-        IDF(inputCol="counts", outputCol="features"),
     ]
-
-
-def _train_rows(df: DataFrame) -> DataFrame:
-    return df.filter("split = 'train'")
+    counted = PipelineModel(stages=stages).transform(df)
+    counts = store(counted.select("id", "split", "label", "counts"), "term-counts")
+    weights = IDF(inputCol="counts", outputCol="features").fit(_train_rows(counts))
+    return weights.transform(counts), [*stages, weights]
 
 
 def train_from_text(
     df: DataFrame, candidate: Candidate = Candidate(), num_features: int = TEXT_FEATURES
 ) -> PipelineModel:
-    """Learn every weight from the text of train: hashed term frequencies, IDF, linear layer.
-
-    The features are stored between the two, or the solver would split the texts again and again.
-    """
-    featurize = Pipeline(stages=_text_stages(num_features)).fit(_train_rows(df))
-    table = store(featurize.transform(_train_rows(df)).select("label", "features"), "features")
-    return PipelineModel(stages=[*featurize.stages, _classifier(candidate).fit(table)])
+    """Learn every weight from the text of train: hashed term frequencies, IDF, linear layer."""
+    table, stages = _text_features(_train_rows(df), num_features)
+    return PipelineModel(stages=[*stages, _classifier(candidate).fit(table)])
 
 
 def with_vectors(df: DataFrame, features: str = "features") -> DataFrame:
@@ -104,19 +107,22 @@ def predict_with(df: DataFrame, scorer: Callable[[pd.DataFrame], list], columns:
 def select_model(
     df: DataFrame, candidates: list[Candidate] | None = None, num_features: int = TEXT_FEATURES
 ) -> DataFrame:
-    """Fit each candidate on one stored feature table; one row each with its validation macro F1.
-
-    The first with the highest F1 above 0 is ``best``; only that one is scored on test.
+    """Fit the candidates side by side on one stored feature table; one row each with its validation
+    macro F1. The first with the highest F1 above 0 is ``best``; only that one is scored on test.
     """
     candidates = candidates or CANDIDATES
-    featurize = Pipeline(stages=_text_stages(num_features)).fit(_train_rows(df))
-    table = store(featurize.transform(df).select("id", "split", "label", "features"), "features")
+    table, _ = _text_features(df, num_features)
     held_out = table.filter("split = 'validation'")
-    best_f1, best, best_model, rows = 0.0, None, None, []
-    for number, candidate in enumerate(candidates, start=1):
+
+    def fitted(candidate: Candidate) -> tuple[PipelineModel, float]:
         model = train_head(table, candidate)
-        f1 = classification_metrics(predict(model, held_out), ["split"]).first()
-        f1 = f1.f1_macro if f1 else 0.0
+        measured = classification_metrics(predict(model, held_out), ["split"]).first()
+        return model, measured.f1_macro if measured else 0.0
+
+    with ThreadPoolExecutor(len(candidates)) as pool:
+        tried = list(pool.map(fitted, candidates))
+    best_f1, best, best_model, rows = 0.0, None, None, []
+    for number, (candidate, (model, f1)) in enumerate(zip(candidates, tried), start=1):
         rows.append((number, candidate.reg_param, candidate.max_iter, f1))
         if f1 > best_f1:
             best_f1, best, best_model = f1, number, model

@@ -116,8 +116,14 @@ def salted_join(
     if hot.isEmpty():
         return left.join(table, keys, how)
     others = spread_by or [c for c in left.columns if c not in keys]
+    # Null keys match nothing in the table, but in a left join they are rows that must not meet in one task.
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(F.col(f"_hot_{k}"))
+    renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
     salted_left = (
-        left.join(F.broadcast(hot), keys, "left")
+        left.join(F.broadcast(renamed), same, "left")
+        .drop(*[f"_hot_{k}" for k in keys])
         .withColumn("_salt", F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop("_salts")
     )
@@ -136,10 +142,10 @@ def spread(df: DataFrame, group: list[str], order: list[str | Column], task_rows
     group and order, so that a long group is cut into consecutive pieces, and stored together with
     the number of their piece. ``order`` must tell the rows of a group apart.
     """
-    longest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if longest <= task_rows:
+    rows = df.groupBy(*group).count().agg(F.max("count").alias("longest"), F.sum("count").alias("total")).first()
+    if (rows.longest or 0) <= task_rows:
         return df
-    pieces = shuffle_tasks(df.sparkSession)
+    pieces = max(shuffle_tasks(df.sparkSession), -(-rows.total // task_rows))
     cut = df.repartitionByRange(pieces, *group, *order).withColumn(PART, F.spark_partition_id())
     return store(cut, "pieces")
 
@@ -189,3 +195,13 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], totals:
         here, earlier = F.col(name), F.col(f"_before_{name}")
         combined[name] = F.greatest(here, earlier) if add is F.max else F.coalesce(here + earlier, here, earlier)
     return store(joined.withColumns(combined).select(*df.columns, *totals), "totals")
+
+
+def number(df: DataFrame, order: list[str | Column], name: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Add ``name``, the place 1, 2, ... of each row in the given order over the whole table.
+
+    Pass a stored table, because it is counted before it is numbered.
+    """
+    one_group = df.withColumn("_all", F.lit(0))
+    cut = spread(one_group, ["_all"], order, task_rows)
+    return running(cut, ["_all"], order, {name: (F.sum, F.lit(1), True)}).select(*df.columns, name)

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import running, sized_join, spread, store
+from .scale import TASK_ROWS, number, sized_join, store
 
 # Accepted column names, first match wins, letter case counts.
 TEXT_COLUMNS = ["text", "sentence", "review", "content", "document"]
 LABEL_COLUMNS = ["label", "labels", "class", "sentiment", "category"]
 
-LOCAL_CLASSES = 10_000
-
 
 def find_columns(columns: list[str]) -> tuple[str, str]:
     """Names of the text and the label column, or ``ValueError`` when one is missing."""
@@ -44,25 +41,23 @@ def normalize(df: DataFrame, id_column: str, keep: list[str] | None = None) -> D
     )
 
 
-def class_catalog(df: DataFrame, label: str = "label") -> DataFrame:
+def class_catalog(
+    df: DataFrame, label: str = "label", names: list[str] | None = None, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """``(label, class_name)`` of the classes that occur.
 
     String labels: the sorted values become the names of classes 0, 1, ... Integer labels: there
     are as many names ``class_0``, ``class_1``, ... as distinct values, whatever the values are.
+    ``names``, declared with the dataset, are the names of classes 0, 1, ... in that order instead.
     """
-    spark = df.sparkSession
+    if names is not None:
+        declared = [(i, str(name)) for i, name in enumerate(names)]
+        return df.sparkSession.createDataFrame(declared, "label int, class_name string")
     kind = df.schema[label].dataType
     classes = df.select(F.col(label).alias("class_name")).filter(F.col("class_name").isNotNull()).distinct()
-    few = classes.take(LOCAL_CLASSES + 1)
-    if len(few) <= LOCAL_CLASSES:
-        values = sorted(row[0] for row in few)
-        names = pa.table({"label": pa.array(range(len(values)), pa.int32()), "class_name": [str(v) for v in values]})
-        numbered = spark.createDataFrame(names)
-    else:
-        one_group = store(classes, "classes").withColumn("_all", F.lit(0))
-        numbered = running(
-            spread(one_group, ["_all"], ["class_name"]), ["_all"], ["class_name"], {"nth": (F.sum, F.lit(1), True)}
-        ).select((F.col("nth") - 1).cast("int").alias("label"), F.col("class_name").cast("string").alias("class_name"))
+    numbered = number(store(classes, "classes"), ["class_name"], "_nth", task_rows).select(
+        (F.col("_nth") - 1).cast("int").alias("label"), F.col("class_name").cast("string").alias("class_name")
+    )
     if isinstance(kind, T.StringType):
         return numbered
     return numbered.withColumn("class_name", F.concat(F.lit("class_"), F.col("label")))

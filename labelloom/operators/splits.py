@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_RANGE, hash_key
+from .scale import store
 
 SPLITS = ["train", "validation", "test"]
 
@@ -30,24 +31,33 @@ def _below_ratio(hashed: Column, ratio: float) -> Column:
     return hashed < int(Decimal(str(ratio)) * HASH_RANGE)
 
 
+def _reached(counts: list, wanted: int) -> tuple:
+    """The value in whose rows the wanted number is reached, and how many of them are needed."""
+    for value, n in sorted(counts):
+        if wanted <= n:
+            break
+        wanted -= n
+    return value, wanted
+
+
 def _cutoff(df: DataFrame, id_column: str, salt: str, ratio: float) -> tuple | None:
     """Hash and id of the last of the ``ceil(ratio * n)`` lowest rows, by (hash, id).
 
-    Rows are counted by the top 16 bits of the hash. The ids are distinct, so the buckets are even,
-    and their counts, 65,536 at most, fit the driver. Only the bucket in which the wanted row falls
-    is sorted. Both passes read nothing but the id and the split.
+    Rows are counted by the top 16 bits of the hash, then those of one bucket by the low 16 bits;
+    both counts have 65,536 numbers at most. Only rows whose whole hash is the wanted row's are
+    sorted. All passes read nothing but the id and the split. Null ids are an error.
     """
     hashed = df.select(F.col(id_column).alias("id"), hash_key(F.col(id_column), salt).alias("h"))
     bucket = F.shiftright("h", 16)
-    counts = sorted(hashed.groupBy(bucket.alias("bucket")).count().collect())
+    counts = hashed.groupBy(bucket.alias("bucket")).count().collect()
+    if any(value is None for value, _ in counts):
+        raise ValueError(f"{id_column} has null values")
     left = math.ceil(Decimal(str(ratio)) * sum(n for _, n in counts))
     if left == 0:
         return None
-    for edge, n in counts:
-        if left <= n:
-            break
-        left -= n
-    return hashed.filter(bucket == edge).orderBy("h", "id").offset(left - 1).limit(1).first()
+    edge, left = _reached(counts, left)
+    h, left = _reached(hashed.filter(bucket == edge).groupBy("h").count().collect(), left)
+    return hashed.filter(F.col("h") == h).orderBy("id").offset(left - 1).limit(1).first()
 
 
 def carve(
@@ -158,11 +168,11 @@ def split_drift(df: DataFrame) -> DataFrame:
 
     Classes that either side lacks have share 0 there.
     """
-    counts = df.groupBy("label").agg(
-        *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in SPLITS]
+    counts = store(
+        df.groupBy("label").agg(*[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in SPLITS]), "class-counts"
     )
-    size = {s: F.nullif(F.sum(s).over(Window.partitionBy()), F.lit(0)) for s in SPLITS}
-    shares = counts.select("label", *[(F.col(s) / size[s]).alias(s) for s in SPLITS])
+    sizes = counts.agg(*[F.sum(s).alias(s) for s in SPLITS]).first()
+    shares = counts.select("label", *[(F.col(s) / F.lit(sizes[s] or None).cast("long")).alias(s) for s in SPLITS])
     return shares.unpivot(["label", "train"], SPLITS[1:], "split", "share").select(
         "split", "label", "share", F.col("train").alias("train_share"), (F.col("share") - F.col("train")).alias("drift")
     )

@@ -16,14 +16,18 @@ def _mean_loss(total: Column, tokens: Column) -> Column:
     return F.when(tokens > 0, total / tokens).otherwise(F.lit(float("inf")))
 
 
-def token_metrics(df: DataFrame, pad: int | None = None, by: list[str] | None = None) -> DataFrame:
+def token_metrics(
+    df: DataFrame, pad: int | None = None, by: list[str] | None = None, weight: str | None = None
+) -> DataFrame:
     """Loss, perplexity and accuracy over rows ``(target, prediction, nll)``, without targets equal
-    to the padding id. Accuracy is in percent, and 0 without rows.
+    to the padding id. Accuracy is in percent, and 0 without rows. ``weight`` names the column that
+    says how many positions a row stands for.
     """
     rows = df if pad is None else df.filter(F.col("target") != pad)
-    loss = _mean_loss(F.sum("nll"), F.count("nll"))
-    hits = F.count_if(F.col("target") == F.col("prediction"))
-    percent = F.when(F.count("*") > 0, 100 * hits / F.count("*")).otherwise(0.0)
+    n = F.lit(1) if weight is None else F.col(weight)
+    loss = _mean_loss(F.sum(n * F.col("nll")), F.sum(F.when(F.col("nll").isNotNull(), n)))
+    hits = F.sum(F.when(F.col("target") == F.col("prediction"), n).otherwise(0))
+    percent = F.when(F.sum(n) > 0, 100 * hits / F.sum(n)).otherwise(0.0)
     return (
         rows.groupBy(*(by or []))
         .agg(loss.alias("loss"), percent.alias("token_accuracy"))

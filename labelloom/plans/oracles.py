@@ -46,8 +46,7 @@ _TOKENS = f"""{_SPLIT},
 _VOCAB = f"""{_TOKENS},
     vocab AS (
         SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 1)::BIGINT AS token_id
-        FROM (SELECT token, count(*) AS n FROM tok WHERE split = 'train' GROUP BY token HAVING count(*) >= 2)
-        ORDER BY n DESC, token LIMIT 10000)"""
+        FROM (SELECT token, count(*) AS n FROM tok WHERE split = 'train' GROUP BY token))"""
 _ENCODED = f"""{_VOCAB},
     enc AS (
         SELECT ds.id, ds.lang, coalesce(e.ids, []::BIGINT[]) AS ids
@@ -55,8 +54,10 @@ _ENCODED = f"""{_VOCAB},
             SELECT id, list(coalesce(token_id, 1) ORDER BY pos) AS ids
             FROM tok LEFT JOIN vocab USING (token) GROUP BY id) e ON ds.id = e.id),
     fixed AS (
-        SELECT id, lang, list_transform(range(1, 129), lambda i: coalesce(ids[i], 0)) AS ids,
-               least(len(ids), 128) AS n_valid
+        SELECT id, list_transform(range(1, 129), lambda i: coalesce(ids[i], 0)) AS ids FROM enc),
+    padded AS (
+        SELECT id, lang, len(ids) AS n_valid, list_transform(
+            range(1, 1 + 128 * greatest(1, ceil(len(ids) / 128)::BIGINT)), lambda i: coalesce(ids[i], 0)) AS ids
         FROM enc)"""
 _UNIGRAM = f"""{_TOKENS},
     seen AS (SELECT token, count(*) AS c FROM tok WHERE split = 'train' GROUP BY token),
@@ -121,12 +122,12 @@ _STREAK = f"""{_HIST},
 _PAIR = """
     days AS (
         SELECT user_id AS run_id, ts::DATE AS day,
-               round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS train_acc,
+               round(avg(CASE WHEN event_type <> 'view' THEN value END), 6) AS train_acc,
                round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS val_acc
         FROM events GROUP BY user_id, ts::DATE),
     pair AS (
         SELECT run_id, train_acc, val_acc, row_number() OVER (PARTITION BY run_id ORDER BY day)::INTEGER AS epoch
-        FROM days WHERE train_acc IS NOT NULL AND val_acc IS NOT NULL)"""
+        FROM days)"""
 _RUNS = """
     runs AS (
         SELECT event_type AS run_id, 'all' AS dataset, round(sum(value) / 60, 6) AS training_time_minutes,
@@ -211,6 +212,18 @@ ORACLES: dict[str, str] = {
         SELECT vec_id::VARCHAR AS run_id, generate_subscripts(embedding, 1)::INTEGER AS epoch,
                unnest(embedding::DOUBLE[]) AS train_loss, unnest(list_reverse(embedding::DOUBLE[])) AS val_f1
         FROM embeddings""",
+    "tracker_long": """
+        SELECT vec_id::VARCHAR AS run_id, generate_subscripts(embedding, 1)::INTEGER AS epoch,
+               unnest(embedding::DOUBLE[]) AS val_loss, unnest(list_reverse(embedding::DOUBLE[])) AS epoch_time
+        FROM embeddings""",
+    "history_roundtrip": f"WITH {_HIST} SELECT run_id::VARCHAR AS run_id, epoch, val_f1 FROM hist",
+    "prepared_dataset": f"""
+        WITH marked AS (
+            SELECT doc_id AS id, text, quality::INTEGER AS label FROM documents JOIN labels USING (doc_id)),
+        {_exact('marked_split', 'marked')}
+        SELECT split, label, CASE label WHEN 0 THEN 'low' WHEN 1 THEN 'high' END AS class_name,
+               count(*) AS n, sum(len({_words()}))::BIGINT AS words
+        FROM marked_split GROUP BY split, label""",
     "results_flat": f"""
         WITH {_RUNS} SELECT run_id, dataset, training_time_minutes, f1_macro, epochs::VARCHAR AS num_epochs FROM runs""",
     "normalize": "SELECT doc_id AS id, text, quality AS label FROM documents JOIN labels USING (doc_id)",
@@ -243,9 +256,9 @@ ORACLES: dict[str, str] = {
     "attention_mask": f"""
         WITH {_ENCODED}
         SELECT id, array_to_string(list_transform(ids, lambda i: (i <> 0)::INTEGER), ' ') AS attention_mask
-        FROM fixed""",
+        FROM padded""",
     "last_valid_token": f"""
-        WITH {_ENCODED} SELECT id, ids[CASE WHEN n_valid = 0 THEN 128 ELSE n_valid END] AS last_id FROM fixed""",
+        WITH {_ENCODED} SELECT id, ids[CASE WHEN n_valid = 0 THEN 128 ELSE n_valid END] AS last_id FROM padded""",
     "make_batches": f"""
         WITH {_SPLIT},
         keyed AS (
@@ -327,7 +340,7 @@ ORACLES: dict[str, str] = {
     "masked_token_metrics": f"""
         WITH {_ENCODED},
         size AS (SELECT sum(n) + count(*) + 1 AS d FROM vocab),
-        positions AS (SELECT lang, unnest(ids) AS target FROM fixed),
+        positions AS (SELECT lang, unnest(ids) AS target FROM padded),
         scored AS (
             SELECT lang, target, -ln((coalesce(n, 0) + 1) / d::DOUBLE) AS nll
             FROM positions LEFT JOIN vocab ON token_id = target, size WHERE target <> 0)
@@ -373,11 +386,13 @@ ORACLES: dict[str, str] = {
         FROM last l LEFT JOIN best b ON b.run_id = l.run_id""",
     "val_test_gap": f"""
         WITH {_PAIR},
-        last AS (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) = 1),
+        last AS (
+            SELECT run_id, arg_max(val_acc, epoch) FILTER (val_acc IS NOT NULL) AS val_acc FROM pair GROUP BY run_id),
         test AS (
             SELECT user_id AS run_id, round(avg(value), 6) AS test_acc FROM events
             WHERE event_type = 'purchase' GROUP BY user_id)
-        SELECT run_id, val_acc, test_acc, round(val_acc - test_acc, 6) AS gap FROM last JOIN test USING (run_id)""",
+        SELECT run_id, val_acc, test_acc, round(val_acc - test_acc, 6) AS gap
+        FROM last FULL JOIN test USING (run_id)""",
     "history_curves": f"""
         WITH {_PAIR}
         SELECT run_id, epoch, 'train_acc' AS metric, train_acc AS value FROM pair
@@ -414,6 +429,31 @@ ORACLES: dict[str, str] = {
     "keyword_classifier": f"""
         WITH {_TOKENS}, {_CLASSES}, {_KEYWORDS}
         SELECT id, split, label, prediction, round(raw, 3) AS score FROM keyword_best""",
+    "train_from_text": f"""
+        WITH {_SPLIT}
+        SELECT split, count(*) AS n, TRUE AS known_classes, TRUE AS reloaded_agrees,
+               CASE WHEN split = 'train' THEN TRUE END AS learned
+        FROM ds_split GROUP BY split""",
+    "train_head": f"""
+        WITH vectors AS (SELECT vec_id AS id FROM embeddings), {_exact('parts', 'vectors')}
+        SELECT split, count(*) AS n, TRUE AS known_classes, TRUE AS reloaded_agrees,
+               CASE WHEN split = 'train' THEN TRUE END AS learned
+        FROM parts GROUP BY split""",
+    "predict_eval": f"""
+        WITH vectors AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
+        {_exact('parts', 'vectors')},
+        long AS (
+            SELECT id, split, label, generate_subscripts(x, 1) - 1 AS dim, unnest(x) AS value FROM parts),
+        logits AS (
+            SELECT id, split, label, c::INTEGER AS prediction, sum(value * ((7 * c + 3 * dim) % 11 - 5)) AS logit
+            FROM long, range(4) AS classes(c) GROUP BY id, split, label, c)
+        SELECT id, split, label, prediction, round(logit, 6) AS score FROM logits
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY logit DESC, prediction) = 1""",
+    "select_model": """
+        SELECT candidate, reg_param, max_iter, TRUE AS one_best, TRUE AS best_is_first_highest,
+               TRUE AS only_best_tested
+        FROM (VALUES (1, 0.1::DOUBLE, 10), (2, 0.01::DOUBLE, 20), (3, 0.001::DOUBLE, 20))
+             AS tried(candidate, reg_param, max_iter)""",
     "centroid_classifier": f"""
         WITH vectors AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
         {_exact('parts', 'vectors')},

@@ -25,7 +25,9 @@ TEST_METRICS = [
     "f1_weighted",
     "loss",
 ]
-LONGEST_HISTORY = 100_000
+
+# Epochs of one record; a longer run takes several.
+PIECE_EPOCHS = 10_000
 
 _METRIC_FIELDS = ", ".join(f"{m}: double" for m in TEST_METRICS)
 RESULTS_SCHEMA = f"""
@@ -43,18 +45,19 @@ def _run_id() -> Column:
 
 
 def _read_arrays(spark: SparkSession, path: str, names: dict[str, str], lines: bool) -> DataFrame:
-    schema = "run_id string, " + ", ".join(f"{n} array<double>" for n in names)
+    schema = "run_id string, first_epoch int, " + ", ".join(f"{n} array<double>" for n in names)
     records = spark.read.option("multiLine", str(not lines).lower()).schema(schema).json(path)
     # A missing series is an empty one and gives nulls.
     series = [F.coalesce(F.col(n), F.array().cast("array<double>")).alias(m) for n, m in names.items()]
-    rows = records.select(_run_id(), F.posexplode(F.arrays_zip(*series)).alias("pos", "at"))
+    rows = records.select(_run_id(), "first_epoch", F.posexplode_outer(F.arrays_zip(*series)).alias("pos", "at"))
     return rows.select(
-        "run_id", (F.col("pos") + 1).alias("epoch"), *[F.col("at").getField(m).alias(m) for m in names.values()]
+        "run_id", (F.col("pos") + F.coalesce("first_epoch", F.lit(1))).alias("epoch"), *[F.col("at").getField(m).alias(m) for m in names.values()]
     )
 
 
 def read_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """One row per run and epoch from records of parallel arrays.
+    """One row per run and epoch from records of parallel arrays; a run without any values gives one
+    row without an epoch.
 
     ``path`` may be a pattern over many runs. Files hold one record each, or one per line with
     ``lines``, which Spark can split.
@@ -67,18 +70,18 @@ def read_tracker(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return _read_arrays(spark, path, TRACKER_METRICS, lines)
 
 
-def write_history(df: DataFrame, path: str, run: str = "run_id") -> None:
-    """One line per run with the metrics found in ``df`` as parallel arrays.
+def write_history(df: DataFrame, path: str, run: str = "run_id", piece_epochs: int = PIECE_EPOCHS) -> None:
+    """One line per run with the metrics found in ``df`` as parallel arrays; epochs are 1, 2, ...
 
-    The format keeps a run in one record, so run lengths are checked first.
+    A run of more than ``piece_epochs`` epochs takes several lines, of which all but the first say
+    with which ``first_epoch`` they begin.
     """
-    longest = df.groupBy(run).count().agg(F.max("count")).first()[0] or 0
-    if longest > LONGEST_HISTORY:
-        raise ValueError(f"a run has {longest} epochs, too many for one record: write the rows as a table")
     metrics = [m for m in HISTORY_METRICS if m in df.columns]
     epochs = F.array_sort(F.collect_list(F.struct("epoch", *metrics)))
-    arrays = df.groupBy(F.col(run).alias("run_id")).agg(epochs.alias("at"))
-    arrays.select("run_id", *[F.col("at").getField(m).alias(m) for m in metrics]).write.json(path)
+    piece = F.floor((F.col("epoch") - 1) / piece_epochs)
+    arrays = df.groupBy(F.col(run).alias("run_id"), piece.alias("piece")).agg(epochs.alias("at"))
+    begins = F.when(F.col("piece") > 0, F.col("piece") * piece_epochs + 1).alias("first_epoch")
+    arrays.select("run_id", begins, *[F.col("at").getField(m).alias(m) for m in metrics]).write.json(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -64,3 +64,11 @@ def test_cross_entropy(spark, logits, smoothing):
         want = (1 - smoothing) * nll[label] + smoothing * sum(nll) / 3
         got = one(spark, scores.cross_entropy(F.col("x"), F.lit(label), smoothing), x=logits)
         assert math.isfinite(got) and got == pytest.approx(want, abs=1e-9)
+
+
+def test_padding_to_full_blocks_keeps_every_id(spark):
+    df = spark.createDataFrame([(0,), (1,), (3,), (4,), (9,)], "n int")
+    ids = F.transform(F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: i > 0), lambda i: i.cast("long"))
+    got = df.select("n", text.pad_blocks(ids, 4).alias("ids")).collect()
+    assert [len(r.ids) for r in got] == [4, 4, 4, 4, 12]
+    assert all(r.ids[: r.n] == list(range(1, r.n + 1)) and set(r.ids[r.n :]) <= {0} for r in got)

@@ -82,8 +82,8 @@ def test_gaps(spark, rows):
     assert (got["a"].last_epoch, round(got["a"].gap_last, 6), got["a"].best_epoch, round(got["a"].gap_best, 6)) == (2, 0.2, 1, -0.1)
     assert (got["b"].best_epoch, got["b"].gap_best) == (None, None)
     results = spark.createDataFrame([("a", 0.8)], "run_id string, test_acc double")
-    (gap,) = rows(history.val_test_gap(df, results))
-    assert gap[0] == "a" and round(gap[3], 6) == -0.1
+    gap, untested = rows(history.val_test_gap(df, results))
+    assert gap[0] == "a" and round(gap[3], 6) == -0.1 and untested == ("b", 0.4, None, None)
 
 
 def test_curves_checkpoints_and_summary(spark, rows):

@@ -5,9 +5,10 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
+from labelloom.plans.oracles import ORACLES
+from labelloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"train_from_text", "train_head", "predict_eval", "select_model"}
 
 
 @pytest.fixture(scope="module")
@@ -18,24 +19,20 @@ def tables():
     return db
 
 
-def test_only_the_trained_models_go_without_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY and set(oracle_sql()) <= set(queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(ORACLES) <= set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, tables, name):
-    df = queries()[name](spark, FOLDER)
-    cursor = tables.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    cursor = tables.execute(ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert check.rows_of(df.columns, df.collect()) == check.rows_of(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_trained_models_give_rows(spark, name):
-    assert queries()[name](spark, FOLDER).count() > 0
-
-
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["split", "label", "class_name", "n", "pct"] and df.count() == 12

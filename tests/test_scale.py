@@ -79,3 +79,12 @@ def test_widen_moves_only_narrow_inputs(spark):
     narrow, wide = spark.range(100).coalesce(1), spark.range(100).repartition(64)
     assert scale.widen(narrow, narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert scale.widen(wide, wide, "id") is wide
+
+
+def test_null_keys_are_spread_too(spark, rows):
+    left = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 7).alias("key"))
+    table = spark.range(5).select(F.col("id").alias("key"), F.col("id").alias("weight"))
+    salted = scale.salted_join(left, table, ["key"], "left", ["id"], task_rows=20)
+    assert rows(salted) == rows(left.join(table, "key", "left"))
+    salts = scale.salted_join(left, table.withColumn("key", F.lit(None).cast("long")), ["key"], "left", ["id"], task_rows=20)
+    assert salts.count() == 400 and "_hot_key" in salts._jdf.queryExecution().toString()

@@ -21,13 +21,15 @@ def test_normalize_picks_exact_case_and_casts(spark, rows):
         schema.normalize(spark.createDataFrame([(1, "a", "b")], ["id", "text", "label"]), "id").collect()
 
 
-@pytest.mark.parametrize("limit", [10_000, 2])
-def test_class_catalog(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(schema, "LOCAL_CLASSES", limit)
+@pytest.mark.parametrize("task_rows", [10_000, 2])
+def test_class_catalog(spark, rows, task_rows):
     names = spark.createDataFrame([("fr",), ("de",), ("fr",), ("en",), (None,)], "lang string")
-    assert rows(schema.class_catalog(names, "lang")) == [(0, "de"), (1, "en"), (2, "fr")]
+    assert rows(schema.class_catalog(names, "lang", task_rows=task_rows)) == [(0, "de"), (1, "en"), (2, "fr")]
     gapped = spark.createDataFrame([(0,), (5,), (2,), (5,)], "label int")
-    assert rows(schema.class_catalog(gapped)) == [(0, "class_0"), (1, "class_1"), (2, "class_2")]
+    assert rows(schema.class_catalog(gapped, task_rows=task_rows)) == [(0, "class_0"), (1, "class_1"), (2, "class_2")]
+    assert rows(schema.class_catalog(gapped, names=["no", "yes"])) == [(0, "no"), (1, "yes")]
+    many = spark.range(1500).selectExpr("concat('c', lpad(id, 4, '0')) AS lang")
+    assert sorted(rows(schema.class_catalog(many, "lang", task_rows=100))) == [(i, f"c{i:04}") for i in range(1500)]
 
 
 def test_labels_to_names_and_back(spark, rows):
@@ -128,3 +130,9 @@ def test_profile(spark, rows):
         ("test", 0, "even", 1, 100.0), ("train", 0, "even", 5, 50.0), ("train", 1, "odd", 5, 50.0)
     ]
     assert rows(profile.sample_examples(train, catalog, 2)) == [(1, 1, "odd", "w "), (2, 0, "even", "w w ")]
+
+
+def test_null_ids_are_an_error(spark):
+    df = spark.createDataFrame([(1,), (None,)], "id int")
+    with pytest.raises(ValueError, match="null"):
+        splits.split_train_val_test(df)

@@ -62,13 +62,14 @@ def test_history_files(spark, tmp_path, rows):
     runs.write_history(df, str(tmp_path / "out"))
     again = runs.read_history(spark, str(tmp_path / "out"), lines=True)
     assert rows(again) == rows(df)
-    many = spark.range(5).select(F.lit("r").alias("run_id"), F.col("id").alias("epoch"), F.lit(0.0).alias("val_f1"))
-    runs.LONGEST_HISTORY, kept = 4, runs.LONGEST_HISTORY
-    try:
-        with pytest.raises(ValueError, match="5 epochs"):
-            runs.write_history(many, str(tmp_path / "never"))
-    finally:
-        runs.LONGEST_HISTORY = kept
+    many = spark.range(1, 6).select(F.lit("r").alias("run_id"), F.col("id").alias("epoch"), (F.col("id") / 2).alias("val_f1"))
+    runs.write_history(many, str(tmp_path / "pieces"), piece_epochs=2)
+    assert spark.read.text(str(tmp_path / "pieces")).count() == 3
+    pieces = runs.read_history(spark, str(tmp_path / "pieces"), lines=True)
+    assert rows(pieces, "run_id", "epoch", "val_f1") == [("r", i, i / 2) for i in range(1, 6)]
+    write(tmp_path / "run_c" / "history.json", json.dumps({"val_f1": []}))
+    empty = runs.read_history(spark, str(tmp_path / "run_c" / "history.json"))
+    assert rows(empty, "run_id", "epoch", "val_f1") == [("run_c", None, None)]
 
 
 def test_tracker_files(spark, tmp_path):

@@ -38,7 +38,9 @@ def test_vocabulary_order_and_cap(spark, rows):
     df = spark.createDataFrame([("b a c",), ("a b d",), ("a e c  b",)], "text string")
     vocab = encoding.build_vocab(df, min_frequency=2, max_size=2)
     assert rows(vocab) == [("a", 2, 3), ("b", 3, 3)]
-    assert rows(encoding.build_vocab(df)) == [("a", 2, 3), ("b", 3, 3), ("c", 4, 2)]
+    assert rows(encoding.build_vocab(df, min_frequency=2)) == [("a", 2, 3), ("b", 3, 3), ("c", 4, 2)]
+    every = [("a", 2, 3), ("b", 3, 3), ("c", 4, 2), ("d", 5, 1), ("e", 6, 1)]
+    assert rows(encoding.build_vocab(df)) == rows(encoding.build_vocab(df, task_rows=2)) == every
 
 
 def test_encode(spark, rows, join_kind):
@@ -78,6 +80,9 @@ def test_masked_loss_and_accuracy(spark):
     df = spark.createDataFrame([(5, 5, 1.0), (6, 5, 3.0), (0, 0, 100.0)], "target int, prediction int, nll double")
     masked = token_models.token_metrics(df, pad=0).first()
     assert (masked.loss, masked.perplexity, masked.token_accuracy) == (2.0, pytest.approx(math.exp(2)), 50.0)
+    counted = df.withColumn("n", F.when(F.col("target") == 6, 3).otherwise(1))
+    weighted = token_models.token_metrics(counted, pad=0, weight="n").first()
+    assert (weighted.loss, weighted.token_accuracy) == (2.5, 25.0)
     every = token_models.token_metrics(df).first()
     assert round(every.token_accuracy, 4) == 66.6667 and round(every.loss, 4) == 34.6667
     nothing = token_models.token_metrics(df.filter("target = 0"), pad=0).first()
