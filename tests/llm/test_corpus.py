@@ -161,6 +161,32 @@ def test_near_duplicates(docs, texts, empty):
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_of_similarity_08_go(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = [None, "", "one two", "One  two"]
+    for _ in range(12):
+        words, template = say(rng.randint(6, 150)), say(60)
+        for changes in (0, 0, 1, 1, 2, 3, 5, 8):
+            changed = list(words)
+            for _ in range(min(changes, len(words) // 20)):
+                changed[rng.randrange(len(words))] = say(1)[0]
+            texts += [" ".join(changed), " ".join(template + say(changes)), " ".join(template[:40] + changed)]
+    rng.shuffle(texts)
+    cut = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    runs = [cut((t or "").lower().split()) for t in texts]
+    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and same(runs[i], runs[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash_dedup.keep_first(df).collect()} == set(root)
+
+
 def test_chat_round_trip(spark, texts):
     rng = random.Random(2)
     rows = []
