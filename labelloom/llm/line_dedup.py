@@ -1,13 +1,12 @@
-"""Line dedup by winnowing.
+"""Line dedup by windows of units.
 
 A document is a row of units: its lines, and within a line its sentences, so that a passage inside
 a long line is found too. Units without words don't count. A window is the shortest row of units
-that has ``WINDOW_WORDS`` words; the unit with the smallest hash of every window is a fingerprint.
-So any repeated stretch that holds a window, a single unit of that many words included, has a
-fingerprint. Each fingerprint is joined to its first position in the corpus, by doc_id and place;
-the match is extended both ways unit by unit, and the later stretch is deleted if it has
-``WINDOW_WORDS`` words. What is deleted always has an equal unit earlier on, so the first copy of
-every unit stays.
+with ``WINDOW_WORDS`` words that begins, or ends, at a unit; every repeated stretch of that many
+words is made of such windows. The key of a window is a hash of all its units, and each is joined
+to the first place of that key in the corpus, by doc_id and place, which holds the whole window; so
+the first place stands for every earlier one. Windows that stand later are deleted. What is
+deleted always has an equal unit earlier on, so the first copy of every unit stays.
 """
 
 from __future__ import annotations
@@ -112,36 +111,50 @@ def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
     return (kept.rstrip() if last else kept), removed
 
 
+def windows(codes: np.ndarray, least: int = WINDOW_WORDS) -> list[tuple[int, int]]:
+    """The shortest stretches ``[start, end)`` of at least so many words that begin, or that end, at a unit.
+
+    Every unit of a longer stretch lies in one of these that the stretch holds whole.
+    """
+    words = (codes & np.uint64(0xFFFF)).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(words)])
+    places = np.arange(len(words))
+    ends = np.searchsorted(total, total[:-1] + least)
+    starts = np.searchsorted(total, total[1:] - least, "right") - 1
+    some, more = ends <= len(words), starts >= 0
+    both = {*zip(places[some].tolist(), ends[some].tolist()), *zip(starts[more].tolist(), (places[more] + 1).tolist())}
+    return sorted(both)
+
+
 def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     """``doc_id, body, gone`` where ``body`` is a hash of the text and ``gone`` lists stretches of units."""
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            codes = [unit_codes(t).astype("=u8").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "body": batch["body"], "codes": codes})
-
-    def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            codes = [np.frombuffer(raw, "=u8") for raw in batch["codes"]]
-            chosen = [winnow(x, least) for x in codes]
-            n = [len(x) for x in chosen]
+            ids, places, keys = [], [], []
+            for doc_id, raw in zip(batch["doc_id"].tolist(), batch["codes"]):
+                found = windows(np.frombuffer(raw, "=u8"), least)
+                ids.append(np.full(len(found), doc_id, np.int64))
+                places.append(np.array([start << 32 | end for start, end in found], np.int64))
+                keys.extend(xxhash.xxh64_intdigest(raw[8 * start : 8 * end]) for start, end in found)
             yield pd.DataFrame(
                 {
-                    "doc_id": np.repeat(batch["doc_id"].to_numpy(), n),
-                    "place": np.array([p for x in chosen for p in x], np.int32),
-                    "code": np.concatenate([x[p] for x, p in zip(codes, chosen)] or [[]]).astype("=u8").view("=i8"),
+                    "doc_id": np.concatenate([*ids, np.empty(0, np.int64)]),
+                    "place": np.concatenate([*places, np.empty(0, np.int64)]),
+                    "code": np.array(keys, np.uint64).view(np.int64),
                 }
             )
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # one row for each pair of documents, however often they share a line; a stretch is a start and a stop
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans = []
-            for a, b, seeds in zip(batch["codes"], batch["from_codes"], batch["seeds"]):
-                pairs = [(s >> 32, s & 0xFFFFFFFF) for s in seeds.tolist()]
-                found = stretches(memoryview(a).cast("Q"), memoryview(b).cast("Q"), pairs, least)
-                spans.append([{"start": start, "stop": stop} for start, stop in joined(found)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
+            codes = [unit_codes(t).astype("=u8").tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "body": batch["body"], "codes": codes})
+
+    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [joined([(x >> 32, x & 0xFFFFFFFF) for x in places.tolist()]) for places in batch["places"]]
+            spans = [[{"start": start, "stop": stop} for start, stop in x] for x in found]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "body": batch["body"], "gone": spans})
 
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text"
@@ -150,39 +163,25 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     cutted = C.stored(
         cutted.groupBy("doc_id").agg(F.min(F.struct("body", "codes")).alias("x")).select("doc_id", "x.*"), "units"
     )
-    prints = C.stored(
-        cutted.select("doc_id", "codes").mapInPandas(fingerprints, "doc_id long, place int, code long"),
-        "line-fingerprints",
+    found = C.stored(
+        cutted.select("doc_id", "codes").mapInPandas(prints, "doc_id long, place long, code long"), "line-windows"
     )
     first = C.stored(
-        prints.groupBy("code")
+        found.groupBy("code")
         .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
         .select("code", F.col("first.doc_id").alias("from_id"), F.col("first.place").alias("first_place"), "n"),
         "first-places",
     )
     counts = first.select("code", F.col("n").alias("count"))
-    seed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("first_place").cast("long"))
-    seeds = (
-        sized_join(
-            prints, first.drop("n"), ["code"], "inner", ["doc_id", "place"], counts, BROADCAST_BYTES, HOT_ROWS
-        )
-        .filter("doc_id != from_id OR place != first_place")
-        .groupBy("doc_id", "from_id")
-        .agg(F.collect_set(seed).alias("seeds"))
-    )
-    own = cutted.select("doc_id", "codes")
-    source = cutted.select(F.col("doc_id").alias("from_id"), F.col("codes").alias("from_codes"))
-    matched = seeds.join(source, "from_id").join(own, "doc_id")
-    spans = matched.select("doc_id", "codes", "from_codes", "seeds").mapInPandas(
-        extend, "doc_id long, spans array<struct<start: int, stop: int>>"
-    )
     gone = (
-        spans.filter(F.size("spans") > 0)
+        sized_join(found, first.drop("n"), ["code"], "inner", ["doc_id", "place"], counts, BROADCAST_BYTES, HOT_ROWS)
+        .filter("doc_id != from_id OR place != first_place")
         .groupBy("doc_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("gone"))
+        .agg(F.collect_set("place").alias("places"))
     )
-    return gone.join(cutted.select("doc_id", "body"), "doc_id")
+    gone = gone.join(cutted.select("doc_id", "body"), "doc_id").select("doc_id", "body", "places")
+    return gone.mapInPandas(join_up, "doc_id long, body long, gone array<struct<start: int, stop: int>>")
 
 
 def dedup_lines(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:

@@ -361,6 +361,27 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.filter("doc_id < 0")).count() == 0
 
 
+def test_windows_whose_units_stood_elsewhere_are_cut(spark):
+    rng = random.Random(10)
+    lines = [prose(rng, rng.randint(1, 5)) for _ in range(12)]
+    passage = "\n".join(f"Line{i} of it" for i in range(6))
+    texts = ["\n".join(f"Line{i} of it\nother {i}" for i in range(6)), f"a\n{passage}\nb", f"c\n{passage}\nd", "Eran.\nx", "Eran.\n" * 22]
+    texts += ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(line_dedup.dedup_lines(df))
+    # brute force: every earlier equal stretch of eight words or more is a partner
+    seen = set()
+    for i, text in enumerate(texts):
+        units, gone = [" ".join(u.split()) for u in line_dedup.cut(text)[0] if u.split()], set()
+        for start in range(len(units)):
+            for end in range(start + 1, len(units) + 1):
+                if sum(len(u.split()) for u in units[start:end]) >= 8 and tuple(units[start:end]) in seen:
+                    gone.update(range(start, end))
+            seen.update(tuple(units[start:end]) for end in range(start + 1, len(units) + 1))
+        assert (got[i].text, got[i]._removed) == line_dedup.without(text, [(p, p + 1) for p in gone])
+    assert got[2].text == "c\nd" and got[4]._removed == 21
+
+
 def test_passage_inside_lines_is_cut(spark):
     rng = random.Random(9)
     passage = " ".join(f"Passage{i} " + prose(rng, 11) + "." for i in range(6))
