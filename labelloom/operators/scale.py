@@ -38,6 +38,14 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(wanted: str, taken) -> str:
+    """``wanted``, lengthened until no column in ``taken`` has that name; Spark doesn't tell cases apart."""
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -116,23 +124,27 @@ def salted_join(
     if hot.isEmpty():
         return left.join(table, keys, how)
     others = spread_by or [c for c in left.columns if c not in keys]
+    taken = {*left.columns, *table.columns}
+    salt, salts = free_name("_salt", taken), free_name("_salts", taken)
+    named = {k: free_name(f"_hot_{k}", taken) for k in keys}
     # Null keys match nothing in the table, but in a left join they are rows that must not meet in one task.
     same = F.lit(True)
     for k in keys:
-        same = same & left[k].eqNullSafe(F.col(f"_hot_{k}"))
-    renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
+        same = same & left[k].eqNullSafe(F.col(named[k]))
+    hot = hot.withColumnRenamed("_salts", salts)
+    renamed = hot.select(*[F.col(k).alias(named[k]) for k in keys], salts)
     salted_left = (
         left.join(F.broadcast(renamed), same, "left")
-        .drop(*[f"_hot_{k}" for k in keys])
-        .withColumn("_salt", F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int"))
-        .drop("_salts")
+        .drop(*named.values())
+        .withColumn(salt, F.pmod(F.xxhash64(*others), F.coalesce(salts, F.lit(1))).cast("int"))
+        .drop(salts)
     )
     salted_table = (
         table.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
+        .withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
+        .drop(salts)
     )
-    return salted_left.join(salted_table, [*keys, "_salt"], how).drop("_salt")
+    return salted_left.join(salted_table, [*keys, salt], how).drop(salt)
 
 
 def spread(df: DataFrame, group: list[str], order: list[str | Column], task_rows: int = TASK_ROWS) -> DataFrame:
