@@ -14,6 +14,7 @@ from labelloom.llm import (
     packing,
     quality,
     simhash_dedup,
+    suffix_dedup,
     token_counts,
 )
 from labelloom.llm.common import table
@@ -38,6 +39,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_line_dedup": line_dedup.query,
     "op10_licenses": licenses.query,
+    "op11_suffix_dedup": suffix_dedup.query,
 }
 
 ORACLES = {"op4_chat_format": chat.ORACLE}
