@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm import common as C
-from labelloom.operators.scale import free_name, salted_join
+from labelloom.operators.scale import free_name, salted_join, shuffle_tasks
 
 LEAST = 400
 GRAM = 64
-GROUP = 2_000
+GROUP = 256
 FAN = 8
 BLOCK_BYTES = 1 << 20
+TASK_ROWS = 200_000  # rows of one key from which it is cut over several tasks
 MIX = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
@@ -340,7 +341,7 @@ def repeated_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, group
         several = pairs.filter("n > 1").select("key", "content", "n")
         mine = rows.filter("n = 1").drop("n")
         per = pairs.filter("n > 1").select("key", "content", F.col("rows").alias("count"))
-        whole = salted_join(mine, several.drop("n"), ["key", "content"], "inner", ["body", "low"], per, 200_000)
+        whole = salted_join(mine, several.drop("n"), ["key", "content"], "inner", ["body", "low"], per, TASK_ROWS)
         spans = whole.select("body", "low", (F.col("high") + least).alias("stop"))
         keys = C.stored(
             pairs.groupBy("key").agg(F.count("*").alias("pieces")).filter("pieces > 1"), "shared-anchors"
@@ -357,6 +358,21 @@ def repeated_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, group
         rows = C.stored(finer(texts, crowded, width, least), "finer-pieces")
 
 
+def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str, bytes]:
+    """Bytes removed, maximal removed runs, and hash and bytes of what stays."""
+    kept, at, removed, runs = [], 0, 0, 0
+    for low, stop in sorted(spans):
+        if stop <= at:
+            continue
+        if low > at or not runs:
+            kept.append(raw[at:low])
+            runs += 1
+        removed += stop - max(low, at)
+        at = stop
+    rest = b"".join([*kept, raw[at:]])
+    return removed, runs, hashlib.sha256(rest).hexdigest(), rest
+
+
 def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """All columns of ``docs`` and ``repeats``: ``n_bytes, n_removed, n_spans, kept_sha256, kept`` of ``text``.
 
@@ -368,49 +384,46 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group:
         raise ValueError("gram must be at least 8 and below least")
     name = free_name("_body", docs.columns)
     text = F.coalesce(F.col("text"), F.lit(""))
-    all_texts = docs.select(F.unhex(F.md5(text)).alias("body"), text.alias("text"))
-    texts = C.stored(
-        all_texts.filter(F.octet_length("text") >= least).groupBy("body").agg(F.min("text").alias("text"), F.count("*").alias("n")),
-        "distinct-texts",
-    )
+    long = docs.select(F.unhex(F.md5(text)).alias("body"), text.alias("text")).filter(F.octet_length("text") >= least)
+    tasks = shuffle_tasks(docs.sparkSession)
+    texts = C.bucketed(
+        long.repartition(tasks, "body").groupBy("body").agg(F.min("text").alias("text"), F.count("*").alias("n")),
+        "body", tasks, "distinct-texts",
+    )
     lists = repeated_spans(texts, least, gram, group).groupBy("body").agg(F.collect_list(F.struct("low", "stop")).alias("spans"))
-    single = texts.filter("n > 1").select("body", F.array(F.struct(F.lit(0).alias("low"), F.lit(2**31 - 1).alias("stop"))).alias("spans"))
-    known = C.stored(lists.unionByName(single), "repeated-spans").select(F.col("body").alias(name), F.col("spans").alias(f"{name}_spans"))
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept binary")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, found in zip(texts, spans):
-            if found is None:
-                out.append((0, 0, None, None))
-                continue
-            raw, kept, at, removed, runs = text.encode(), [], 0, 0, 0
-            for low, stop in sorted((x["low"], x["stop"]) for x in found):
-                stop = min(stop, len(raw))
-                if stop <= at:
-                    continue
-                if low > at or not runs:
-                    kept.append(raw[at:low])
-                    runs += 1
-                removed += stop - max(low, at)
-                at = stop
-            rest = b"".join([*kept, raw[at:]])
-            out.append((removed, runs, hashlib.sha256(rest).hexdigest(), rest))
+        out = [without(text.encode(), [(x["low"], x["stop"]) for x in found]) for text, found in zip(texts, spans)]
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
 
-    keyed = docs.withColumn(name, F.unhex(F.md5(text)))
-    joined = salted_join(keyed, known, [name], "left", task_rows=200_000)
-    touched = F.when(F.col(f"{name}_spans").isNotNull(), text)
-    done = joined.withColumn(f"{name}_cut", cut(touched, F.col(f"{name}_spans")))
-    whole = text.cast("binary")
-    result = F.struct(
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.col(f"{name}_cut.n_removed").alias("n_removed"),
-        F.col(f"{name}_cut.n_spans").alias("n_spans"),
-        F.coalesce(F.col(f"{name}_cut.kept_sha256"), F.sha2(whole, 256)).alias("kept_sha256"),
-        F.coalesce(F.col(f"{name}_cut.kept"), whole).alias("kept"),
+    made = ["n_removed", "n_spans", "kept_sha256", "kept"]
+    touched = texts.select("body", "text").join(lists, "body").select("body", cut("text", "spans").alias("found"))
+    copies = texts.filter("n > 1").select(
+        "body",
+        F.octet_length("text").cast("long").alias("n_removed"),
+        F.lit(1).cast("long").alias("n_spans"),
+        F.sha2(F.lit(b""), 256).alias("kept_sha256"),
+        F.lit(b"").alias("kept"),
+    )
+    results = touched.select("body", *[F.col(f"found.{m}").alias(m) for m in made]).unionByName(copies)
+    results = results.select(F.col("body").alias(name), *[F.col(m).alias(f"{name}_{m}") for m in made])
+    # what the text is asked for is taken before the join, so that no text is moved that isn't returned
+    keyed = docs.withColumns(
+        {
+            name: F.unhex(F.md5(text)),
+            f"{name}_bytes": F.octet_length(text).cast("long"),
+            f"{name}_sha256": F.sha2(text.cast("binary"), 256),
+        }
+    )
+    counts = docs.select(F.unhex(F.md5(text)).alias(name)).groupBy(name).count()
+    joined = salted_join(keyed, results, [name], "left", counts=counts, task_rows=TASK_ROWS)
+    without_match = {"n_removed": F.lit(0), "n_spans": F.lit(0), "kept_sha256": F.col(f"{name}_sha256"), "kept": text.cast("binary")}
+    repeats = F.struct(
+        F.col(f"{name}_bytes").alias("n_bytes"),
+        *[F.coalesce(F.col(f"{name}_{m}"), other).alias(m) for m, other in without_match.items()],
     )
-    return done.withColumn("repeats", result).select(*docs.columns, "repeats")
+    return joined.withColumn("repeats", repeats).select(*docs.columns, "repeats")
 
 
 def query(spark, folder: str) -> DataFrame:
