@@ -14,6 +14,7 @@ from labelloom.llm import (
     packing,
     quality,
     simhash_dedup,
+    spelling,
     suffix_dedup,
     token_counts,
 )
@@ -40,6 +41,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_licenses": licenses.query,
     "op11_suffix_dedup": suffix_dedup.query,
+    "op12_spelling_variants": spelling.query,
 }
 
 ORACLES = {"op4_chat_format": chat.ORACLE}
