@@ -13,6 +13,7 @@ from labelloom.llm import (
     line_dedup,
     packing,
     quality,
+    repair,
     simhash_dedup,
     spelling,
     suffix_dedup,
@@ -42,6 +43,7 @@ QUERIES = {
     "op10_licenses": licenses.query,
     "op11_suffix_dedup": suffix_dedup.query,
     "op12_spelling_variants": spelling.query,
+    "op13_conversation_repair": repair.query,
 }
 
 ORACLES = {"op4_chat_format": chat.ORACLE}
