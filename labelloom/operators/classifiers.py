@@ -1,165 +1,186 @@
 """Two classifiers with a closed form: keywords (naive Bayes) and nearest centroid.
 
 Both fit on the rows whose ``split`` is ``train`` and score every row. Results have one row per
-input row: its ``logits`` in the order of the sorted class ids, the ``prediction`` and its
-``score``. Equal scores (to 6 places) go to the lowest class.
+input row: ``id, split, label``, the ``prediction`` and its ``score``. Equal scores (to 6 places)
+go to the lowest class. There may be any number of classes: weights exist for tokens and classes
+that met, and what all other classes score follows from three numbers of each class.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import argmax
 from ..functions.text import words
 from .encoding import exploded_tokens
-from .scale import sized_join, store
+from .scale import BROADCAST_BYTES, number, sized_join, store
 
-# One column per class is kept while scoring.
-MAX_CLASSES = 1000
 SCORE_PLACES = 6
+CLASS_BYTES = 40  # a class's numbers, as they are sent to the tasks
+CARRIED = ["id", "split", "label"]
 
 
-def _class_rows(train: DataFrame) -> list:
-    """``(label, docs)`` of each class in train, on the driver."""
-    rows = train.groupBy("label").agg(F.count("*").alias("docs")).take(MAX_CLASSES + 1)
-    if not rows:
-        raise ValueError("there are no train rows to learn from")
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return sorted(rows, key=lambda row: row.label)
-
-
-def predict(logits: str, classes: list) -> tuple[Column, Column]:
-    """Predicted class and its score."""
-    rounded = F.transform(logits, lambda x: F.round(x, SCORE_PLACES))
-    labels = F.array(*[F.lit(row.label) for row in classes])
-    return F.element_at(labels, argmax(rounded) + 1), F.array_max(rounded)
-
+class TextWeights:
+    """What both text classifiers learn from one pass over train.
 
-def text_classes(df: DataFrame) -> list:
-    return _class_rows(df.filter("split = 'train'"))
-
-
-def token_weights(df: DataFrame, classes: list) -> DataFrame:
-    """Per train token and class ``i``: occurrences ``n_i``, and ``f_i``, the sum over the class's
-    texts of the token's share of the text. One pass over train, stored for reuse.
+    ``tokens`` has a row per token with its classes, each with ``keyword`` (log of occurrences and
+    one) and ``centroid`` (mean share). ``classes`` has the class's log prior ``prior``, the
+    log-likelihood ``unseen`` of a token that it lacks, and ``bias``, minus half its squared centroid.
     """
-    tokens = df.filter("split = 'train'").select("label", words(F.col("text")).alias("w"))
-    shares = tokens.select("label", F.try_divide(F.lit(1.0), F.size("w")).alias("share"), "w")
-    counts = exploded_tokens(shares).groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("share").alias("f"))
-    per_class = []
-    for i, row in enumerate(classes):
-        here = F.col("label") == row.label
-        per_class.append(F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"n_{i}"))
-        per_class.append(F.coalesce(F.sum(F.when(here, F.col("f"))), F.lit(0.0)).alias(f"f_{i}"))
-    return store(counts.groupBy("token").agg(*per_class), "token-weights")
-
-
-@dataclass
-class Recipe:
-    """A linear score: per class a bias, plus over a text's tokens the sum of ``value`` (of ``share``,
-    the token's share of the text) times the token's coefficient.
-    """
-
-    coefficients: list[Column]
-    value: Column
-    bias: list[float]
 
-
-def keyword_recipe(weights: DataFrame, classes: list) -> Recipe:
-    """Multinomial naive Bayes with add-one smoothing."""
-    k = range(len(classes))
-    totals = weights.agg(F.count("*").alias("size"), *[F.sum(f"n_{i}").alias(f"n_{i}") for i in k]).first()
-    smoothed = [(totals[f"n_{i}"] or 0) + totals["size"] for i in k]
-    docs = sum(row.docs for row in classes)
-    log_likelihood = [F.log((F.col(f"n_{i}") + 1) / F.lit(float(smoothed[i] or 1))) for i in k]
-    return Recipe(log_likelihood, F.lit(1.0), [math.log(row.docs / docs) for row in classes])
-
-
-def centroid_recipe(weights: DataFrame, classes: list) -> Recipe:
-    """Nearest centroid of term frequencies."""
-    means = [F.col(f"f_{i}") / row.docs for i, row in enumerate(classes)]
-    squares = weights.agg(*[F.sum(m * m) for m in means]).first()
-    return Recipe(means, F.col("share"), [-0.5 * (s or 0.0) for s in squares])
+    def __init__(self, df: DataFrame):
+        train = df.filter("split = 'train'")
+        classes = store(train.groupBy("label").agg(F.count("*").alias("docs")), "classes")
+        total = classes.agg(F.sum("docs")).first()[0]
+        if not total:
+            raise ValueError("there are no train rows to learn from")
+        split = train.select("label", words(F.col("text")).alias("w"))
+        shares = split.select("label", F.try_divide(F.lit(1.0), F.size("w")).alias("share"), "w")
+        counts = exploded_tokens(shares).groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("share").alias("f"))
+        counts = store(sized_join(store(counts, "token-counts"), classes, ["label"]), "token-counts")
+        mean = F.col("f") / F.col("docs")
+        weight = F.struct(F.col("label").alias("class"), F.log(F.col("n") + 1).alias("keyword"), mean.alias("centroid"))
+        self.tokens = store(counts.groupBy("token").agg(F.collect_list(weight).alias("weights")), "token-weights")
+        sums = counts.groupBy("label").agg(F.sum("n").alias("n"), (-0.5 * F.sum(mean * mean)).alias("bias"))
+        size = self.tokens.count()
+        smoothed = F.coalesce("n", F.lit(0)) + size
+        self.classes = store(
+            classes.join(sums, "label", "left").select(
+                F.col("label").alias("class"),
+                F.log(F.col("docs") / F.lit(float(total))).alias("prior"),
+                (-F.log(F.when(smoothed == 0, 1).otherwise(smoothed))).alias("unseen"),
+                F.coalesce("bias", F.lit(0.0)).alias("bias"),
+            ),
+            "class-weights",
+        )
 
 
-def score_texts(df: DataFrame, weights: DataFrame, recipes: dict[str, Recipe], classes: list) -> DataFrame:
-    """``(id, split, label)`` and the logits of each recipe under its name, all in one pass.
+def score_texts(df: DataFrame, weights: TextWeights, recipes: list[str]) -> DataFrame:
+    """``id, split, label`` and, for each of ``keywords`` and ``centroids`` asked for, a struct ``prediction, score``.
 
-    Tokens that train lacks add nothing. A small coefficient table is broadcast and then nothing
-    but one row of sums per text is shuffled; a large one is joined with frequent tokens salted.
+    Texts meet only the classes that share a token with them. Of all others only the best can
+    win, and that depends on nothing but the number of known tokens. Tokens that train lacks add
+    nothing. A small table of weights is broadcast and one row for each text and class it met is
+    shuffled; a large one is joined with frequent tokens salted.
     """
-    carried = ["id", "split", "label"]
-    columns = {name: [f"{name}_{i}" for i in range(len(classes))] for name in recipes}
-    coefficients = weights.select(
-        "token", *[c.alias(to) for name, r in recipes.items() for c, to in zip(r.coefficients, columns[name])]
+    if weights.classes.count() * CLASS_BYTES > BROADCAST_BYTES:
+        raise ValueError("the classes' numbers no longer fit a broadcast")
+    known = weights.classes.orderBy("class").toPandas()
+    kind = weights.classes.schema["class"].dataType.simpleString()
+    labels, numbers = known["class"].tolist(), known[["prior", "unseen", "bias"]].to_numpy(np.float64)
+
+    texts = df.select(*CARRIED, words(F.col("text")).alias("w"))
+    shares = texts.select(*CARRIED, F.try_divide(F.lit(1.0), F.size("w")).alias("share"), "w")
+    exploded = shares.select(*CARRIED, "share", F.posexplode_outer("w").alias("pos", "token"))
+    matched = sized_join(exploded, weights.tokens, ["token"], "left", spread_by=["id", "pos"])
+    marker = F.struct(F.lit(None).cast(kind).alias("class"), F.lit(0.0).alias("keyword"), F.lit(0.0).alias("centroid"))
+    each = F.explode(F.concat(F.array(marker), F.coalesce("weights", F.array()))).alias("e")
+    met = matched.select(*CARRIED, "share", F.col("weights").isNotNull().cast("long").alias("known"), each)
+    sums = met.groupBy(*CARRIED, F.col("e.class").alias("class")).agg(
+        F.sum("known").alias("known"),
+        F.sum("e.keyword").alias("keyword"),
+        F.sum(F.col("share") * F.col("e.centroid")).alias("centroid"),
     )
-    texts = df.select(*carried, words(F.col("text")).alias("w"))
-    shares = texts.select(*carried, F.try_divide(F.lit(1.0), F.size("w")).alias("share"), "w")
-    exploded = shares.select(*carried, "share", F.posexplode_outer("w").alias("pos", "token"))
-    matched = sized_join(exploded, coefficients, ["token"], "left", spread_by=["id", "pos"])
-    sums = matched.groupBy(*carried).agg(
-        *[F.sum(r.value * F.col(c)).alias(c) for name, r in recipes.items() for c in columns[name]]
+    one = F.when(F.col("class").isNotNull(), F.struct("class", "keyword", "centroid"))
+    lists = sums.groupBy(*CARRIED).agg(
+        F.max(F.when(F.col("class").isNull(), F.col("known"))).alias("known"), F.collect_list(one).alias("met")
     )
-    logits = {
-        name: F.array(*[F.coalesce(c, F.lit(0.0)) + F.lit(b) for c, b in zip(columns[name], r.bias)])
-        for name, r in recipes.items()
-    }
-    return sums.select(*carried, *[value.alias(name) for name, value in logits.items()])
 
-
-def _classify(df: DataFrame, recipe: Callable[[DataFrame, list], Recipe]) -> DataFrame:
-    classes = text_classes(df)
-    weights = token_weights(df, classes)
-    scored = score_texts(df, weights, {"logits": recipe(weights, classes)}, classes)
-    prediction, score = predict("logits", classes)
-    return scored.withColumns({"prediction": prediction, "score": score})
+    @F.pandas_udf(", ".join(f"{r} struct<prediction: {kind}, score: double>" for r in recipes))
+    def decide(known: pd.Series, met: pd.Series) -> pd.DataFrame:
+        place = {label: i for i, label in enumerate(labels)}
+        prior, unseen, bias = numbers.T
+        others: dict = {}
+
+        def best(scores: np.ndarray, places: np.ndarray) -> tuple:
+            rounded = np.round(scores, SCORE_PLACES)
+            top = rounded.max()
+            at = places[rounded == top].min()
+            return top, -int(at), float(scores[places == at][0])
+
+        everywhere = np.arange(len(labels))
+        rows = []
+        for n, found in zip(known, met):
+            places = np.array([place[x["class"]] for x in found], np.int64)
+            row = []
+            for r in recipes:
+                key = (r, n if r == "keywords" else 0)
+                if key not in others:
+                    others[key] = best(prior + n * unseen if r == "keywords" else bias, everywhere)
+                chosen = others[key]
+                if len(places):
+                    name = "keyword" if r == "keywords" else "centroid"
+                    base = prior[places] + n * unseen[places] if r == "keywords" else bias[places]
+                    chosen = max(chosen, best(base + np.array([x[name] for x in found]), places))
+                row.append({"prediction": labels[-chosen[1]], "score": chosen[2]})
+            rows.append(row)
+        return pd.DataFrame(rows, columns=recipes)
+
+    return lists.withColumn("r", decide("known", "met")).select(*CARRIED, "r.*")
+
+
+def _classify(df: DataFrame, recipe: str) -> DataFrame:
+    return score_texts(df, TextWeights(df), [recipe]).select(*CARRIED, f"{recipe}.*")
 
 
 def keyword_classifier(df: DataFrame) -> DataFrame:
-    """Multinomial naive Bayes on ``(id, split, label, text)``."""
-    return _classify(df, keyword_recipe)
+    """Multinomial naive Bayes with add-one smoothing on ``(id, split, label, text)``."""
+    return _classify(df, "keywords")
 
 
 def text_centroid_classifier(df: DataFrame) -> DataFrame:
     """Nearest centroid of term frequencies on ``(id, split, label, text)``."""
-    return _classify(df, centroid_recipe)
+    return _classify(df, "centroids")
 
 
-def centroid_classifier(df: DataFrame, features: str = "features") -> DataFrame:
+def centroid_classifier(df: DataFrame, features: str = "features", block_bytes: int = BROADCAST_BYTES // 2) -> DataFrame:
     """Nearest centroid on a fixed feature array; ``(id, split, label)`` are carried over.
 
-    The centroids are one row (classes times dimensions) that the scan of the vectors reads as a
-    scalar subquery, so the vectors are scored in place, without a join or a shuffle.
+    The centroids go to the tasks in blocks of at most ``block_bytes``, in order of their labels;
+    each block gives every vector its best class, and the best of the blocks wins. One block is
+    enough as long as the model is that small, and then nothing of the vectors is shuffled.
     """
     train = df.filter("split = 'train'")
     long = train.select("label", F.posexplode(F.col(features).cast("array<double>")).alias("dim", "value"))
     means = long.groupBy("label", "dim").agg(F.avg("value").alias("mean"))
-    centroid = F.array_sort(F.collect_list(F.struct("dim", "mean"))).getField("mean")
-    per_class = means.groupBy("label").agg(
-        centroid.alias("w"), (F.sum(F.col("mean") * F.col("mean")) * -0.5).alias("bias")
+    centroid = F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"])
+    model = store(
+        means.groupBy("label").agg(centroid.alias("w"), (F.sum(F.col("mean") * F.col("mean")) * -0.5).alias("bias")), "centroids"
     )
-    model = per_class.agg(F.array_sort(F.collect_list(F.struct("label", "w", "bias"))).alias("model")).scalar()
-
-    def logit(c: Column) -> Column:
-        products = F.zip_with(F.col(features).cast("array<double>"), c["w"], lambda x, w: x * w)
-        return c["bias"] + F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-    rounded = F.transform("logits", lambda x: F.round(x, SCORE_PLACES))
-    return (
-        df.select("id", "split", "label", features, model.alias("model"))
-        .withColumn("logits", F.transform("model", logit))
-        .select(
-            "id",
-            "split",
-            "label",
-            "logits",
-            F.element_at(F.col("model").getField("label"), argmax(rounded) + 1).alias("prediction"),
-            F.array_max(rounded).alias("score"),
+    classes, values = model.agg(F.count("*"), F.sum(F.size("w") + 2)).first()
+    if not classes:
+        raise ValueError("there are no train rows to learn from")
+    blocks = -(-8 * values // block_bytes)
+    size = -(-classes // blocks)
+    placed = number(model, ["label"], "_nth") if blocks > 1 else model.withColumn("_nth", F.lit(1))
+    placed = store(placed, "centroid-blocks") if blocks > 1 else placed
+    kinds = {c: df.schema[c].dataType.simpleString() for c in CARRIED}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in CARRIED) + f", prediction {kinds['label']}, score double"
+    spark, best = df.sparkSession, None
+    for b in range(blocks):
+        rows = placed.filter((F.col("_nth") > b * size) & (F.col("_nth") <= (b + 1) * size)) if blocks > 1 else placed
+        frame = rows.select("label", "w", "bias").toPandas().sort_values("label")
+        sent = spark.sparkContext.broadcast(
+            (frame["label"].to_numpy(), np.stack(frame["w"].to_numpy()).T.copy(), frame["bias"].to_numpy())
         )
-    )
+
+        def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            labels, w, bias = sent.value
+            step = max(1, (1 << 22) // len(labels))  # scores held at a time
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    part = batch.iloc[at : at + step]
+                    scores = np.round(np.stack(part[features].to_numpy()).astype(np.float64) @ w + bias, SCORE_PLACES)
+                    top = scores.argmax(axis=1)
+                    yield part[CARRIED].assign(prediction=labels[top], score=scores[np.arange(len(part)), top])
+
+        found = df.select(*CARRIED, features).mapInPandas(nearest, schema)
+        best = found if best is None else best.unionByName(found)
+    if blocks == 1:
+        return best
+    first = F.min(F.struct((-F.col("score")).alias("less"), "prediction")).alias("b")
+    return best.groupBy(*CARRIED).agg(first).select(*CARRIED, "b.prediction", (-F.col("b.less")).alias("score"))

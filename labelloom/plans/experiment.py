@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.classifiers import (
-    centroid_recipe,
-    keyword_recipe,
-    predict,
-    score_texts,
-    text_classes,
-    token_weights,
-)
+from ..operators.classifiers import TextWeights, score_texts
 from ..operators.compare import leaderboard
 from ..operators.metrics import classification_metrics
 from ..operators.scale import store
@@ -24,11 +17,9 @@ def experiment(df: DataFrame, dataset: str) -> DataFrame:
     ``df`` has ``(id, split, label, text)``. Both recipes share one pass over train and one over
     the held-out texts.
     """
-    classes = text_classes(df)
-    weights = token_weights(df, classes)
-    recipes = {"keywords": keyword_recipe(weights, classes), "centroids": centroid_recipe(weights, classes)}
-    scored = score_texts(df.filter("split <> 'train'"), weights, recipes, classes)
-    each = [F.struct(F.lit(r).alias("run_id"), predict(r, classes)[0].alias("prediction")) for r in recipes]
+    recipes = ["keywords", "centroids"]
+    scored = score_texts(df.filter("split <> 'train'"), TextWeights(df), recipes)
+    each = [F.struct(F.lit(r).alias("run_id"), F.col(f"{r}.prediction").alias("prediction")) for r in recipes]
     runs = scored.select("split", "label", F.inline(F.array(*each)))
     metrics = store(classification_metrics(runs, ["run_id", "split"]), "run-metrics")
     test = metrics.filter("split = 'test'").withColumn("dataset", F.lit(dataset))

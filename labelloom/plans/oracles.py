@@ -182,6 +182,56 @@ _STATS = """
     round(avg(n), 6) AS avg_words, min(n)::INTEGER AS min_words, max(n)::INTEGER AS max_words,
     least(512, trunc(avg(n) * 2))::INTEGER AS recommended_max_seq_length"""
 
+# Candidates of a training run: L2 penalty, step size, steps.
+_ONE = [(0.0001, 12.0, 5)]
+_GRID = [(0.01, 4.0, 2), (0.001, 12.0, 4), (0.0, 12.0, 5)]
+
+
+def _descent(candidates: list[tuple]) -> str:
+    """Gradient descent from zero on the tokens ``tok`` of ``ds_split``, one table of logits ``z_<step>`` after each step."""
+    values = ", ".join(f"({i}, {l2}::DOUBLE, {rate}::DOUBLE, {n})" for i, (l2, rate, n) in enumerate(candidates, start=1))
+    steps = max(c[-1] for c in candidates)
+    parts = [
+        f"""cand AS (SELECT * FROM (VALUES {values}) AS t(c, l2, rate, steps)),
+        kinds AS (SELECT DISTINCT label AS k FROM ds_split WHERE split = 'train'),
+        counted AS (SELECT id, token, count(*) AS n FROM tok GROUP BY id, token),
+        design AS MATERIALIZED (
+            SELECT id, token, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM counted
+            UNION ALL SELECT id, '', 1.0 FROM ds_split),
+        z_0 AS (SELECT c, id, split, label, k, 0.0::DOUBLE AS z FROM ds_split, kinds, cand),
+        w_0 AS (SELECT NULL::INTEGER AS c, ''::VARCHAR AS token, NULL::INTEGER AS k, 0.0::DOUBLE AS w WHERE FALSE),
+        n_train AS (SELECT count(*) AS n FROM ds_split WHERE split = 'train')"""
+    ]
+    for s in range(1, steps + 1):
+        parts.append(f"""
+        e_{s} AS (
+            SELECT c, id, k, label, exp(z - max(z) OVER (PARTITION BY c, id)) AS e FROM z_{s - 1} WHERE split = 'train'),
+        r_{s} AS MATERIALIZED (
+            SELECT c, id, k, e / sum(e) OVER (PARTITION BY c, id) - CASE WHEN k = label THEN 1 ELSE 0 END AS r FROM e_{s}),
+        g_{s} AS (
+            SELECT c, token, k, sum(x * r) / any_value(n) AS g FROM design JOIN r_{s} USING (id), n_train
+            GROUP BY c, token, k),
+        w_{s} AS MATERIALIZED (
+            SELECT g.c, g.token, g.k, CASE WHEN {s} <= steps
+                THEN coalesce(w, 0) - rate * (g + CASE WHEN g.token = '' THEN 0 ELSE l2 * coalesce(w, 0) END) ELSE w END AS w
+            FROM g_{s} g JOIN cand USING (c)
+            LEFT JOIN w_{s - 1} b ON b.c = g.c AND b.token = g.token AND b.k = g.k),
+        z_{s} AS MATERIALIZED (
+            SELECT c, id, split, label, k, sum(x * w) AS z
+            FROM design JOIN w_{s} USING (token) JOIN ds_split USING (id) GROUP BY c, id, split, label, k)""")
+    curves = " UNION ALL ".join(f"SELECT {s} AS epoch, * FROM z_{s}" for s in range(1, steps + 1))
+    parts.append(f"""
+        scored AS (
+            SELECT c, epoch, id, split, label,
+                   max(z) + ln(sum(exp(z - top))) - max(CASE WHEN k = label THEN z END) AS loss, arg_max(k, z) = label AS hit
+            FROM (SELECT *, max(z) OVER (PARTITION BY c, epoch, id) AS top FROM ({curves}))
+            GROUP BY c, epoch, id, split, label),
+        curve AS (
+            SELECT c, epoch, split, count(*) AS n, avg(loss) AS loss, count_if(hit) / count(*) AS accuracy
+            FROM scored GROUP BY c, epoch, split)""")
+    return ", ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "load_splits": """
         SELECT 'train' AS split, text FROM documents
@@ -430,15 +480,52 @@ ORACLES: dict[str, str] = {
         WITH {_TOKENS}, {_CLASSES}, {_KEYWORDS}
         SELECT id, split, label, prediction, round(raw, 3) AS score FROM keyword_best""",
     "train_from_text": f"""
-        WITH {_SPLIT}
-        SELECT split, count(*) AS n, TRUE AS known_classes, TRUE AS reloaded_agrees,
-               CASE WHEN split = 'train' THEN TRUE END AS learned
-        FROM ds_split GROUP BY split""",
+        WITH {_TOKENS}, {_descent(_ONE)}
+        SELECT epoch, split, n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy FROM curve""",
+    "save_and_reload": f"""
+        WITH {_TOKENS}, {_descent(_ONE)}
+        SELECT id, split, label, k AS prediction, round(z, 6) AS score FROM z_{_ONE[0][-1]}
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY z DESC, k) = 1""",
     "train_head": f"""
-        WITH vectors AS (SELECT vec_id AS id FROM embeddings), {_exact('parts', 'vectors')}
-        SELECT split, count(*) AS n, TRUE AS known_classes, TRUE AS reloaded_agrees,
-               CASE WHEN split = 'train' THEN TRUE END AS learned
-        FROM parts GROUP BY split""",
+        WITH RECURSIVE vectors AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
+        {_exact('parts', 'vectors')},
+        long AS MATERIALIZED (
+            SELECT id, split, label, generate_subscripts(x, 1)::INTEGER AS dim, unnest(x) AS v FROM parts
+            UNION ALL SELECT id, split, label, 1000000, 1.0 FROM parts),
+        train AS (SELECT * FROM long WHERE split = 'train'),
+        classes AS (SELECT DISTINCT label AS k FROM train),
+        dims AS (SELECT dim, row_number() OVER (ORDER BY dim) AS i FROM (SELECT DISTINCT dim FROM train)),
+        size AS (SELECT count(*) AS d FROM dims),
+        gram AS (
+            SELECT a.dim AS di, b.dim AS dj,
+                   sum(a.v * b.v) + CASE WHEN a.dim = b.dim AND a.dim < 1000000 THEN 0.1 * count(*) ELSE 0 END AS v
+            FROM train a JOIN train b USING (id) GROUP BY a.dim, b.dim),
+        sums AS (
+            SELECT dim AS di, k, sum(CASE WHEN label = k THEN v ELSE 0 END) AS v FROM train, classes GROUP BY dim, k),
+        start AS (
+            SELECT x.i, y.i AS j, v FROM gram JOIN dims x ON di = x.dim JOIN dims y ON dj = y.dim
+            UNION ALL
+            SELECT x.i, d + 1 + row_number() OVER (PARTITION BY di ORDER BY k), v
+            FROM sums JOIN dims x ON di = x.dim, size),
+        eliminated AS (
+            SELECT 0 AS step, i, j, v FROM start
+            UNION ALL
+            SELECT g.step + 1, g.i, g.j,
+                   CASE WHEN g.i = g.step + 1 THEN g.v / p.v ELSE g.v - c.v * r.v / p.v END
+            FROM eliminated g
+            JOIN eliminated p ON p.i = g.step + 1 AND p.j = g.step + 1
+            JOIN eliminated c ON c.i = g.i AND c.j = g.step + 1
+            JOIN eliminated r ON r.i = g.step + 1 AND r.j = g.j
+            WHERE g.step < (SELECT d FROM size)),
+        weights AS MATERIALIZED (
+            SELECT dim, k, v AS w FROM eliminated JOIN dims USING (i)
+            JOIN (SELECT k, row_number() OVER (ORDER BY k) AS nth FROM classes) c ON j = (SELECT d FROM size) + 1 + nth
+            WHERE step = (SELECT d FROM size)),
+        scores AS (
+            SELECT id, split, label, k AS prediction, sum(l.v * w) AS score
+            FROM long l JOIN weights USING (dim) GROUP BY id, split, label, k)
+        SELECT id, split, label, prediction, round(score, 6) AS score FROM scores
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY scores.score DESC, prediction) = 1""",
     "predict_eval": f"""
         WITH vectors AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
         {_exact('parts', 'vectors')},
@@ -449,11 +536,24 @@ ORACLES: dict[str, str] = {
             FROM long, range(4) AS classes(c) GROUP BY id, split, label, c)
         SELECT id, split, label, prediction, round(logit, 6) AS score FROM logits
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY logit DESC, prediction) = 1""",
-    "select_model": """
-        SELECT candidate, reg_param, max_iter, TRUE AS one_best, TRUE AS best_is_first_highest,
-               TRUE AS only_best_tested
-        FROM (VALUES (1, 0.1::DOUBLE, 10), (2, 0.01::DOUBLE, 20), (3, 0.001::DOUBLE, 20))
-             AS tried(candidate, reg_param, max_iter)""",
+    "select_model": f"""
+        WITH ds AS (SELECT doc_id AS id, text, quality AS label FROM documents JOIN labels USING (doc_id)),
+        {_exact('ds_split', 'ds')},
+        tok AS (SELECT id, split, label, unnest({_words()}) AS token FROM ds_split),
+        {_descent(_GRID)},
+        chosen AS (
+            SELECT c AS candidate, split, label, k AS prediction FROM z_{max(c[-1] for c in _GRID)}
+            QUALIFY row_number() OVER (PARTITION BY c, id ORDER BY z DESC, k) = 1),
+        {_metrics('chosen', 'candidate, split')},
+        tried AS (
+            SELECT c AS candidate, l2, rate, steps, coalesce(f1_macro, 0) AS val_f1_macro
+            FROM cand LEFT JOIN summary ON candidate = c AND split = 'validation'),
+        ranked AS (
+            SELECT *, val_f1_macro > 0 AND row_number() OVER (ORDER BY val_f1_macro DESC, candidate) = 1 AS best FROM tried)
+        SELECT r.candidate, l2, rate, steps, round(val_f1_macro, 6) AS val_f1_macro, best,
+               round(accuracy, 6) AS test_accuracy, round(f1_macro, 6) AS test_f1_macro,
+               round(f1_weighted, 6) AS test_f1_weighted
+        FROM ranked r LEFT JOIN summary s ON s.candidate = r.candidate AND split = 'test' AND best""",
     "centroid_classifier": f"""
         WITH vectors AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
         {_exact('parts', 'vectors')},

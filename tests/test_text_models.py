@@ -138,8 +138,7 @@ def test_keyword_classifier(corpus, join_kind):
             prior = math.log(sum(1 for _, other in train if other == c) / len(train))
             scores[c] = prior + sum(math.log((counts[c][w] + 1) / total) for w in body.split() if w in vocab)
         assert (got[i].label, got[i].split, got[i].prediction) == (label, split, best_class(scores))
-        assert got[i].score == pytest.approx(max(scores.values()), abs=1e-5)
-        assert got[i].logits == pytest.approx([scores[c] for c in range(3)], abs=1e-6)
+        assert got[i].score == pytest.approx(scores[best_class(scores)], abs=1e-6)
 
 
 def test_text_centroid_classifier(corpus, join_kind):
@@ -157,20 +156,50 @@ def test_text_centroid_classifier(corpus, join_kind):
             c: sum(f * centroids[c][w] for w, f in frequencies[i].items()) - 0.5 * sum(v * v for v in centroids[c].values())
             for c in range(3)
         }
-        assert got[i].prediction == best_class(scores) and got[i].logits == pytest.approx(list(scores.values()), abs=1e-9)
+        assert got[i].prediction == best_class(scores) and got[i].score == pytest.approx(scores[best_class(scores)], abs=1e-9)
 
 
 def test_centroid_classifier_on_vectors(spark):
     data = [(i, "train" if i % 4 else "test", 2 * (i % 2), [float(i % 2), 1.0, 0.5 * (i % 3)]) for i in range(24)]
     df = spark.createDataFrame(data, "id int, split string, label int, features array<float>")
     got = {r.id: r for r in classifiers.centroid_classifier(df).collect()}
+    blocks = classifiers.centroid_classifier(df, block_bytes=48)
+    assert {r.id: r for r in blocks.collect()} == got
     means = {}
     for c in (0, 2):
         of_class = [x for _, s, label, x in data if s == "train" and label == c]
         means[c] = [sum(v) / len(of_class) for v in zip(*of_class)]
     for i, _, _, x in data:
         scores = {c: sum(a * b for a, b in zip(x, m)) - 0.5 * sum(b * b for b in m) for c, m in means.items()}
-        assert got[i].prediction == best_class(scores) and got[i].logits == pytest.approx(list(scores.values()), abs=1e-9)
+        assert got[i].prediction == best_class(scores) and got[i].score == pytest.approx(max(scores.values()), abs=1e-6)
+
+
+def test_centroids_of_many_classes(spark):
+    n = 100_000
+    spot = lambda c: F.array((c % 317).cast("double"), F.floor(c / 317).cast("double"))
+    known = spark.range(n).select("id", F.lit("train").alias("split"), F.col("id").alias("label"), spot(F.col("id")).alias("features"))
+    asked = spark.range(7, n, 991).select(
+        (F.col("id") + n).alias("id"), F.lit("test").alias("split"), F.col("id").alias("label"),
+        F.transform(spot(F.col("id")), lambda v: v + 0.25).alias("features"),
+    )
+    df = known.filter("id % 991 = 7 OR id % 2 = 0").unionByName(asked).repartition(4)
+    test = df.filter("split = 'test'")
+    found = classifiers.centroid_classifier(df.filter("split = 'train'").unionByName(test), block_bytes=500_000)
+    got = found.filter("split = 'test'").agg(F.count("*"), F.count_if(F.col("label") == F.col("prediction"))).first()
+    assert got[0] == got[1] == test.count()
+
+
+def test_keywords_of_many_classes(spark):
+    """Five thousand classes of one word each, and texts whose known words decide or say nothing."""
+    n = 5_000
+    rows = [(i, "train", i, f"w{i} common") for i in range(n)] + [(n, "train", 4_321, "common common")]
+    rows += [(n + 1 + i, "test", i * 7, f"common w{i * 7} w{i * 7} unheard w{i * 7}") for i in range(300)] + [(n + 400, "test", 4_321, "unheard of"), (n + 401, "test", 0, None)]
+    df = spark.createDataFrame(rows, "id long, split string, label int, text string").repartition(4)
+    got = {r.id: r for r in classifiers.keyword_classifier(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[n + 1 + i].prediction == i * 7 for i in range(300))
+    assert got[n + 400].prediction == got[n + 401].prediction == 4_321  # the commonest class
+    assert got[n + 401].score == pytest.approx(math.log(2 / (n + 1)))
 
 
 def test_nothing_to_learn_from(corpus):
