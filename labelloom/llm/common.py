@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,20 +32,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """As ``stored``, in buckets by ``key``: joins on it move only the other side.
-
-    The frame keeps what the catalog said of the table, so the entry goes at once and only files stay.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    entry = f"labelloom_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").bucketBy(buckets, key).sortBy(key)
-    writer.option("path", path).option("compression", "zstd").saveAsTable(entry)
-    table = spark.table(entry)
-    spark.sql(f"DROP TABLE {entry}")
-    return table
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -1,12 +1,21 @@
-"""Line dedup by windows of units.
+"""Line dedup by winnowing.
 
 A document is a row of units: its lines, and within a line its sentences, so that a passage inside
 a long line is found too. Units without words don't count. A window is the shortest row of units
 with ``WINDOW_WORDS`` words that begins, or ends, at a unit; every repeated stretch of that many
-words is made of such windows. The key of a window is a hash of all its units, and each is joined
-to the first place of that key in the corpus, by doc_id and place, which holds the whole window; so
-the first place stands for every earlier one. Windows that stand later are deleted. What is
-deleted always has an equal unit earlier on, so the first copy of every unit stays.
+words is made of such windows.
+
+* The smallest unit hash of every window is a fingerprint. Equal windows have it at equal places,
+  so no repeated window is missed, and only as many places are kept as there are fingerprints.
+  The units of all windows with one fingerprint are its reach.
+* Places are joined by fingerprint. Equal reaches are counted; all but the first, by doc_id and
+  place, are later repeats as a whole.
+* Different reaches of one fingerprint meet in one task. From the common unit each match is
+  extended both ways; where it has enough words, the later one of the two is deleted.
+* A fingerprint with over ``GROUP`` different reaches, a very common short line, is told apart by
+  whole windows instead: they are hashed, and all but the first of equal ones are deleted.
+
+What is deleted always has an equal unit earlier on, so the first copy of every unit stays.
 """
 
 from __future__ import annotations
@@ -21,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm import common as C
-from labelloom.operators.scale import sized_join
+from labelloom.operators.scale import bucketed, free_name, salted_join, shuffle_tasks
 
 WINDOW_WORDS = 8
-BROADCAST_BYTES = 4 * 1024 * 1024
+GROUP = 256
 HOT_ROWS = 20_000
 BREAK = re.compile(r"(\n|(?<=[.!?]) +)")
 
@@ -35,53 +44,41 @@ def cut(text: str) -> tuple[list[str], list[str]]:
     return pieces[0::2], [*pieces[1::2], ""]
 
 
-def unit_codes(text: str) -> np.ndarray:
-    """For each unit with words, 48 bits of its hash and 16 bits with its number of words."""
-    codes = []
+def unit_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of words of each unit with words."""
+    codes, sizes = [], []
     for unit in cut(text)[0]:
         words = unit.split()
         if words:
-            h = xxhash.xxh64_intdigest(" ".join(words)) >> 16
-            codes.append((h << 16) | min(len(words), 0xFFFF))
-    return np.array(codes, np.uint64)
-
-
-def winnow(codes: np.ndarray, least: int = WINDOW_WORDS) -> list[int]:
-    """Places of the smallest code of every window, the first of equal ones."""
-    values, words = codes.tolist(), (codes & np.uint64(0xFFFF)).tolist()
-    chosen, end, total = set(), 0, 0
-    for start in range(len(values)):
-        while end < len(values) and total < least:
-            total += words[end]
-            end += 1
-        if total < least:
-            if start == 0 and values:
-                chosen.add(min(range(len(values)), key=values.__getitem__))
-            break
-        if end - start == 1:
-            chosen.add(start)
+            codes.append(xxhash.xxh64_intdigest(" ".join(words)))
+            sizes.append(len(words))
+    return np.array(codes, np.uint64), np.array(sizes, np.int64)
+
+
+def winnow(codes: list[int], found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Places of the smallest code of every window, the first of equal ones, with the reach ``[start, stop)`` of its windows."""
+    out: list[tuple[int, int, int]] = []
+    for start, end in found:
+        place = start if end - start == 1 else min(range(start, end), key=codes.__getitem__)
+        if out and out[-1][0] == place:
+            out[-1] = place, out[-1][1], max(end, out[-1][2])
         else:
-            chosen.add(min(range(start, end), key=values.__getitem__))
-        total -= words[start]
-    return sorted(chosen)
-
-
-def stretches(a, b, seeds: list[tuple[int, int]], least: int = WINDOW_WORDS) -> list[tuple[int, int]]:
-    """Stretches ``[start, end)`` of codes ``a`` that equal one of ``b`` around a seed and have enough words."""
-    found, done = [], {}
-    for p, q in sorted(seeds):
-        back = p - q
-        if p < done.get(back, 0):
-            continue
-        start, end = p, p + 1
-        while start > 0 and start > back and a[start - 1] == b[start - 1 - back]:
-            start -= 1
-        while end < len(a) and end - back < len(b) and a[end] == b[end - back]:
-            end += 1
-        done[back] = end
-        if sum(a[i] & 0xFFFF for i in range(start, end)) >= least:
-            found.append((start, end))
-    return found
+            out.append((place, start, end))
+    return out
+
+
+Reach = tuple[list[int], list[int], int]  # codes, sizes, place of the fingerprint among them
+
+
+def stretch(later: Reach, earlier: Reach) -> tuple[int, int, int]:
+    """Units ``[start, stop)`` of the later reach that equal the earlier one's around the fingerprint, and their words."""
+    (a, sizes, p), (b, _, q) = later, earlier
+    start, stop = p, p + 1
+    while start > 0 and start - 1 - p + q >= 0 and a[start - 1] == b[start - 1 - p + q]:
+        start -= 1
+    while stop < len(a) and stop - p + q < len(b) and a[stop] == b[stop - p + q]:
+        stop += 1
+    return start, stop, sum(sizes[start:stop])
 
 
 def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,89 +108,165 @@ def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
     return (kept.rstrip() if last else kept), removed
 
 
-def windows(codes: np.ndarray, least: int = WINDOW_WORDS) -> list[tuple[int, int]]:
+def windows(sizes: np.ndarray, least: int = WINDOW_WORDS) -> list[tuple[int, int]]:
     """The shortest stretches ``[start, end)`` of at least so many words that begin, or that end, at a unit.
 
-    Every unit of a longer stretch lies in one of these that the stretch holds whole.
+    Every unit of a longer stretch lies in one of these that the stretch holds whole. In order of
+    starts, their ends are in order too.
     """
-    words = (codes & np.uint64(0xFFFF)).astype(np.int64)
-    total = np.concatenate([[0], np.cumsum(words)])
-    places = np.arange(len(words))
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.arange(len(sizes))
     ends = np.searchsorted(total, total[:-1] + least)
     starts = np.searchsorted(total, total[1:] - least, "right") - 1
-    some, more = ends <= len(words), starts >= 0
+    some, more = ends <= len(sizes), starts >= 0
     both = {*zip(places[some].tolist(), ends[some].tolist()), *zip(starts[more].tolist(), (places[more] + 1).tolist())}
     return sorted(both)
 
 
-def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
+def _of(codes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(codes, "<u8"), np.frombuffer(sizes, "<i4").astype(np.int64)
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+PLACE = "code long, reach long, doc_id long, place int, start int, stop int"
+
+
+def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = GROUP) -> DataFrame:
     """``doc_id, body, gone`` where ``body`` is a hash of the text and ``gone`` lists stretches of units."""
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, places, keys = [], [], []
-            for doc_id, raw in zip(batch["doc_id"].tolist(), batch["codes"]):
-                found = windows(np.frombuffer(raw, "=u8"), least)
-                ids.append(np.full(len(found), doc_id, np.int64))
-                places.append(np.array([start << 32 | end for start, end in found], np.int64))
-                keys.extend(xxhash.xxh64_intdigest(raw[8 * start : 8 * end]) for start, end in found)
+            both = [unit_codes(t) for t in batch["text"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": np.concatenate([*ids, np.empty(0, np.int64)]),
-                    "place": np.concatenate([*places, np.empty(0, np.int64)]),
-                    "code": np.array(keys, np.uint64).view(np.int64),
+                    "doc_id": batch["doc_id"],
+                    "body": batch["body"],
+                    "codes": [c.astype("<u8").tobytes() for c, _ in both],
+                    "sizes": [n.astype("<i4").tobytes() for _, n in both],
                 }
             )
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, places, keys = [], [], []
+            for doc_id, raw, sizes in zip(batch["doc_id"].tolist(), batch["codes"], batch["sizes"]):
+                codes, counts = _of(raw, sizes)
+                found = winnow(codes.tolist(), windows(counts, least))
+                if found:
+                    at = np.array(found, np.int64)
+                    ids.append(np.full(len(at), doc_id, np.int64))
+                    places.append(np.column_stack([codes[at[:, 0]].view(np.int64), at]))
+                    keys.extend(xxhash.xxh64_intdigest(raw[8 * a : 8 * b], seed=p - a) for p, a, b in found)
+            if keys:
+                table = np.concatenate(places)
+                yield pd.DataFrame(
+                    {
+                        "code": table[:, 0],
+                        "reach": np.array(keys, np.uint64).view(np.int64),
+                        "doc_id": np.concatenate(ids),
+                        **{c: table[:, i].astype(np.int32) for i, c in enumerate(("place", "start", "stop"), start=1)},
+                    }
+                )
+
+    def reaches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, raw, sizes, asked in zip(batch["doc_id"], batch["codes"], batch["sizes"], batch["asked"]):
+                for x in asked:
+                    a, b = x["start"], x["stop"]
+                    rows.append((x["code"], doc_id, x["place"], a, raw[8 * a : 8 * b], sizes[4 * a : 4 * b]))
+            yield pd.DataFrame(rows, columns=["code", "doc_id", "place", "start", "codes", "sizes"])
+
+    def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, before = None, []
         for batch in batches:
-            codes = [unit_codes(t).astype("=u8").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "body": batch["body"], "codes": codes})
+            rows = []
+            for r in batch.itertuples(index=False):
+                if r.code != code:
+                    code, before = r.code, []
+                codes, sizes = _of(r.codes, r.sizes)
+                mine = codes.tolist(), sizes.tolist(), r.place - r.start
+                for other in before:
+                    start, stop, words = stretch(mine, other)
+                    if words >= least:
+                        rows.append((r.doc_id, r.start + start, r.start + stop))
+                        if stop - start == len(codes):
+                            break
+                before.append(mine)
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop"])
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                for a, b in windows(_of(r.codes, r.sizes)[1], least):
+                    if a <= r.place - r.start < b:
+                        rows.append((signed(xxhash.xxh64_intdigest(r.codes[8 * a : 8 * b])), r.doc_id, r.start + a, r.start + b))
+            yield pd.DataFrame(rows, columns=["window", "doc_id", "start", "stop"])
 
     def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [joined([(x >> 32, x & 0xFFFFFFFF) for x in places.tolist()]) for places in batch["places"]]
+            found = [joined([(x["start"], x["stop"]) for x in spans]) for spans in batch["spans"]]
             spans = [[{"start": start, "stop": stop} for start, stop in x] for x in found]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "body": batch["body"], "gone": spans})
 
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text"
     )
-    cutted = known.mapInPandas(units, "doc_id long, body long, codes binary")
-    cutted = C.stored(
-        cutted.groupBy("doc_id").agg(F.min(F.struct("body", "codes")).alias("x")).select("doc_id", "x.*"), "units"
-    )
-    found = C.stored(
-        cutted.select("doc_id", "codes").mapInPandas(prints, "doc_id long, place long, code long"), "line-windows"
-    )
-    first = C.stored(
-        found.groupBy("code")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("code", F.col("first.doc_id").alias("from_id"), F.col("first.place").alias("first_place"), "n"),
-        "first-places",
+    made = known.mapInPandas(units, "doc_id long, body long, codes binary, sizes binary")
+    tasks = shuffle_tasks(docs.sparkSession)
+    one_each = made.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.min(F.struct("body", "codes", "sizes")).alias("x"))
+    cutted = bucketed(one_each.select("doc_id", "x.*"), "doc_id", tasks, "units")
+    places = C.stored(cutted.select("doc_id", "codes", "sizes").mapInPandas(prints, PLACE), "winnowed")
+    one = F.struct("doc_id", "place", "start", "stop")
+    equal = C.stored(places.groupBy("code", "reach").agg(F.count("*").alias("count"), F.min(one).alias("first")), "equal-reaches")
+    several = equal.filter("count > 1")
+    first = several.select("code", "reach", F.col("first.doc_id").alias("from_id"), F.col("first.place").alias("from_place"))
+    counts = several.select("code", "reach", "count")
+    spans = (
+        salted_join(places, first, ["code", "reach"], "inner", ["doc_id", "place"], counts, HOT_ROWS)
+        .filter("doc_id != from_id OR place != from_place")
+        .select("doc_id", "start", "stop")
     )
-    counts = first.select("code", F.col("n").alias("count"))
-    gone = (
-        sized_join(found, first.drop("n"), ["code"], "inner", ["doc_id", "place"], counts, BROADCAST_BYTES, HOT_ROWS)
-        .filter("doc_id != from_id OR place != first_place")
-        .groupBy("doc_id")
-        .agg(F.collect_set("place").alias("places"))
-    )
-    gone = gone.join(cutted.select("doc_id", "body"), "doc_id").select("doc_id", "body", "places")
+
+    shared = C.stored(equal.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"), "shared-fingerprints")
+    firsts = equal.select("code", "first.*")
+
+    def wanted(codes: DataFrame) -> DataFrame:
+        asked = firsts.join(codes.select("code"), "code", "left_semi")
+        lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("code", "place", "start", "stop")).alias("asked"))
+        kinds = "code long, doc_id long, place int, start int, codes binary, sizes binary"
+        return cutted.select("doc_id", "codes", "sizes").join(lists, "doc_id").mapInPandas(reaches, kinds)
+
+    met = wanted(shared.filter(F.col("n") <= group)).repartition("code").sortWithinPartitions("code", "doc_id", "place")
+    spans = spans.unionByName(met.mapInPandas(extended, "doc_id long, start int, stop int"))
+    crowded = shared.filter(F.col("n") > group)
+    if not crowded.isEmpty():
+        whole = C.stored(wanted(crowded).mapInPandas(hashed, "window long, doc_id long, start int, stop int"), "whole-windows")
+        best = whole.groupBy("window").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "start", "stop")).alias("first"))
+        best = C.stored(best.filter("count > 1"), "first-windows")
+        origin = best.select("window", F.col("first.doc_id").alias("from_id"), F.col("first.start").alias("from_start"))
+        later = salted_join(whole, origin, ["window"], "inner", ["doc_id", "start"], best.select("window", "count"), HOT_ROWS)
+        spans = spans.unionByName(later.filter("doc_id != from_id OR start != from_start").select("doc_id", "start", "stop"))
+    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    gone = cutted.select("doc_id", "body").join(lists, "doc_id")
     return gone.mapInPandas(join_up, "doc_id long, body long, gone array<struct<start: int, stop: int>>")
 
 
 def dedup_lines(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     """All columns of ``docs`` with later repeated stretches cut from ``text``, and ``_removed`` units.
 
-    Null texts and rows with a null doc_id are left as they are. Rows that repeat both id and text
-    are one document and stay alike; of rows that repeat the id with other texts the one with the
-    smallest text hash takes part and the others are left as they are.
+    ``doc_id`` is a whole number; other columns may have any names but ``_removed``. Null texts and
+    rows with a null doc_id are left as they are. Rows that repeat both id and text are one
+    document and stay alike; of rows that repeat the id with other texts the one with the smallest
+    text hash takes part and the others are left as they are.
     """
-    gone = deleted_stretches(docs, least).select(
-        F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("gone").alias("_gone")
-    )
+    stretches = deleted_stretches(docs, least)
+    at, body, gone, own, rest_of = (free_name(n, docs.columns) for n in ("_id", "_body", "_gone", "_hash", "_rest"))
+    stretches = stretches.select(F.col("doc_id").alias(at), F.col("body").alias(body), F.col("gone").alias(gone))
 
     @F.pandas_udf("text string, removed int")
     def rest(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -205,11 +278,11 @@ def dedup_lines(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
             columns=["text", "removed"],
         )
 
-    matched = docs.withColumn("_hash", F.xxhash64("text")).join(
-        gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_body")), "left"
+    matched = docs.withColumn(own, F.xxhash64("text")).join(
+        stretches, (F.col("doc_id") == F.col(at)) & (F.col(own) == F.col(body)), "left"
     )
-    cleaned = matched.withColumn("_rest", rest(F.col("text"), F.col("_gone")))
-    return cleaned.withColumn("text", F.col("_rest.text")).withColumn("_removed", F.col("_rest.removed")).select(
+    cleaned = matched.withColumn(rest_of, rest(F.col("text"), F.col(gone)))
+    return cleaned.withColumns({"text": F.col(f"{rest_of}.text"), "_removed": F.col(f"{rest_of}.removed")}).select(
         *docs.columns, "_removed"
     )
 

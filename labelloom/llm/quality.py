@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm import common as C
-from labelloom.operators.scale import sized_join
+from labelloom.operators.scale import free_name, sized_join
 
 SAMPLE_ROWS = 6_000
 MAX_MARKS = 4_000
@@ -192,24 +192,27 @@ def classify(
 
     ``host`` and ``path`` name columns; null hosts and paths are a site of their own. Null texts and
     texts without words are not good. Without labelled rows of both kinds every other text is good.
-    Rows with repeated ids are judged one by one.
+    Rows with repeated ids are judged one by one. Columns of ``docs`` may have any names; those with
+    the names of the added ones stand beside them in the result.
     """
+    judged, names = _judged(docs, labels, host, path, rows)
+    return judged.select(*docs.columns, *[F.col(names[n]).alias(f"_{n}") for n in ("evidence", "rate", "posterior", "good")])
+
+
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with what ``classify`` adds, under names that none of its columns has."""
+    names = {n: free_name(f"_{n}", docs.columns) for n in ("host", "path", "rate", "overall", "evidence", "posterior", "good")}
     model = train(docs, labels, rows)
-    site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{n}") for c, n in ((host, "host"), (path, "path"))]
-    scored = docs.select(
-        *[s.alias(n) for s, n in zip(site, ("host", "path"))], evidence(F.col("text"), model).alias("evidence")
-    )
-    rates = C.stored(site_rates(scored), "rates").select(
-        F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("rate").alias("_rate"), F.col("overall").alias("_overall")
-    )
-    judged = docs.select("*", *site, evidence(F.col("text"), model).alias("_evidence"))
-    joined = sized_join(judged, rates, ["_host", "_path"], spread_by=["doc_id"])
-    odds = lambda p: F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9))
-    total = odds(F.col("_evidence")) * odds(F.col("_rate")) / odds(F.col("_overall"))
+    site = {n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in (("host", host), ("path", path))}
+    scored = docs.select(*[s.alias(n) for n, s in site.items()], evidence(F.col("text"), model).alias("evidence"))
+    rates = C.stored(site_rates(scored), "rates").select(*[F.col(n).alias(names[n]) for n in ("host", "path", "rate", "overall")])
+    marked = docs.select("*", *[s.alias(names[n]) for n, s in site.items()], evidence(F.col("text"), model).alias(names["evidence"]))
+    joined = sized_join(marked, rates, [names["host"], names["path"]], spread_by=["doc_id"])
+    odds = lambda n: F.greatest(F.col(names[n]), F.lit(1e-9)) / F.greatest(1 - F.col(names[n]), F.lit(1e-9))
+    total = odds("evidence") * odds("rate") / odds("overall")
     said = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-    return joined.withColumn("_posterior", total / (1 + total)).withColumn(
-        "_good", said & (F.col("_posterior") >= KEEP_FROM)
-    )
+    joined = joined.withColumn(names["posterior"], total / (1 + total))
+    return joined.withColumn(names["good"], said & (F.col(names["posterior"]) >= KEEP_FROM)), names
 
 
 def query(spark, folder: str) -> DataFrame:
@@ -224,4 +227,6 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs, labels).filter("_good").select(*docs.columns)
+    """Documents that are good by ``classify``, sites being ``source`` and ``lang``."""
+    judged, names = _judged(docs, labels, "source", "lang")
+    return judged.filter(F.col(names["good"])).select(*docs.columns)

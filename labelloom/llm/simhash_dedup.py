@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm import common as C
-from labelloom.llm import similar
 from labelloom.llm.components import component_ids
 
 RADIUS = 3
@@ -119,10 +118,10 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Documents without near duplicates of smaller id; rows with one id go or stay together, null ids stay.
+    """Documents without near duplicates of smaller id, linked as in ``near_duplicates``.
 
-    Near duplicates are linked by a similarity of 0.8 or more of their five-word shingles.
+    Rows with one id go or stay together, null ids stay.
     """
-    found = similar.near_duplicates(docs.select("doc_id", "text"))
+    found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm import common as C
-from labelloom.operators.scale import free_name, salted_join, shuffle_tasks
+from labelloom.operators.scale import bucketed, free_name, salted_join, shuffle_tasks
 
 LEAST = 400
 GRAM = 64
@@ -386,7 +386,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group:
     text = F.coalesce(F.col("text"), F.lit(""))
     long = docs.select(F.unhex(F.md5(text)).alias("body"), text.alias("text")).filter(F.octet_length("text") >= least)
     tasks = shuffle_tasks(docs.sparkSession)
-    texts = C.bucketed(
+    texts = bucketed(
         long.repartition(tasks, "body").groupBy("body").agg(F.min("text").alias("text"), F.count("*").alias("n")),
         "body", tasks, "distinct-texts",
     )

@@ -161,32 +161,6 @@ def test_near_duplicates(docs, texts, empty):
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
-def test_near_copies_of_similarity_08_go(spark):
-    rng = random.Random(12)
-    vocabulary = [f"w{i}" for i in range(400)]
-    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    texts = [None, "", "one two", "One  two"]
-    for _ in range(12):
-        words, template = say(rng.randint(6, 150)), say(60)
-        for changes in (0, 0, 1, 1, 2, 3, 5, 8):
-            changed = list(words)
-            for _ in range(min(changes, len(words) // 20)):
-                changed[rng.randrange(len(words))] = say(1)[0]
-            texts += [" ".join(changed), " ".join(template + say(changes)), " ".join(template[:40] + changed)]
-    rng.shuffle(texts)
-    cut = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    runs = [cut((t or "").lower().split()) for t in texts]
-    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if root[i] != root[j] and same(runs[i], runs[j]):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in simhash_dedup.keep_first(df).collect()} == set(root)
-
-
 def test_chat_round_trip(spark, texts):
     rng = random.Random(2)
     rows = []
@@ -333,34 +307,43 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.contaminated(df.filter("doc_id < 0"), benchmark).count() == 0
 
 
+def earlier_stretches(texts):
+    """Brute force: units in any stretch of eight words or more that stood earlier, in the same text or one before."""
+    seen, out = set(), []
+    for text in texts:
+        units, gone = [" ".join(u.split()) for u in line_dedup.cut(text or "")[0] if u.split()], set()
+        for start in range(len(units)):
+            for end in range(start + 1, len(units) + 1):
+                if sum(len(u.split()) for u in units[start:end]) >= 8 and tuple(units[start:end]) in seen:
+                    gone.update(range(start, end))
+            seen.update(tuple(units[start:end]) for end in range(start + 1, len(units) + 1))
+        out.append((None, 0) if text is None else line_dedup.without(text, [(p, p + 1) for p in gone]))
+    return out
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     lines = [prose(rng, rng.randint(1, 14)) + rng.choice(["", ".", "!"]) for _ in range(25)]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9))) for _ in range(40)] + ["", None, " \n ", lines[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    df = df.withColumns({"_id": F.lit(1), "_BODY": F.lit(1), "_gone": F.lit(1), "_hash": F.lit(1), "_rest": F.lit(1)})
     got = by_id(line_dedup.dedup_lines(df))
-    codes = [line_dedup.unit_codes(t or "") for t in texts]
-    first, gone = {}, collections.defaultdict(set)
-    for i, code in enumerate(codes):
-        for p in line_dedup.winnow(code):
-            first.setdefault(int(code[p]), (i, p))
-    for i, code in enumerate(codes):
-        seeds = collections.defaultdict(list)
-        for p in line_dedup.winnow(code):
-            j, q = first[int(code[p])]
-            if (i, p) != (j, q):
-                seeds[j].append((p, q))
-        for j, pairs in seeds.items():
-            gone[i].update(line_dedup.stretches(code.tolist(), codes[j].tolist(), pairs))
-    for i, text in enumerate(texts):
-        want = (None, 0) if text is None else line_dedup.without(text, sorted(gone[i]))
-        assert (got[i].text, got[i]._removed) == want
-    long_units = {int(c) for code in codes for c in code if int(c) & 0xFFFF >= line_dedup.WINDOW_WORDS}
-    left = collections.Counter(int(c) for r in got.values() for c in line_dedup.unit_codes(r.text or "") if int(c) in long_units)
-    assert set(left) == long_units and set(left.values()) == {1}
+    assert [(got[i].text, got[i]._removed) for i in range(len(texts))] == earlier_stretches(texts)
     assert line_dedup.dedup_lines(df.filter("doc_id < 0")).count() == 0
 
 
+def test_crowded_fingerprints_are_told_apart_by_windows(spark):
+    rng = random.Random(12)
+    lines = ["Common line."] * 6 + [prose(rng, rng.randint(2, 9)) for _ in range(9)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = earlier_stretches(texts)
+    for group in (1, 3):
+        gone = by_id(line_dedup.deleted_stretches(df, group=group))
+        got = [line_dedup.without(t, [tuple(x) for x in gone[i].gone] if i in gone else []) for i, t in enumerate(texts)]
+        assert got == want
+
+
 def test_windows_whose_units_stood_elsewhere_are_cut(spark):
     rng = random.Random(10)
     lines = [prose(rng, rng.randint(1, 5)) for _ in range(12)]
@@ -369,16 +352,7 @@ def test_windows_whose_units_stood_elsewhere_are_cut(spark):
     texts += ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = by_id(line_dedup.dedup_lines(df))
-    # brute force: every earlier equal stretch of eight words or more is a partner
-    seen = set()
-    for i, text in enumerate(texts):
-        units, gone = [" ".join(u.split()) for u in line_dedup.cut(text)[0] if u.split()], set()
-        for start in range(len(units)):
-            for end in range(start + 1, len(units) + 1):
-                if sum(len(u.split()) for u in units[start:end]) >= 8 and tuple(units[start:end]) in seen:
-                    gone.update(range(start, end))
-            seen.update(tuple(units[start:end]) for end in range(start + 1, len(units) + 1))
-        assert (got[i].text, got[i]._removed) == line_dedup.without(text, [(p, p + 1) for p in gone])
+    assert [(got[i].text, got[i]._removed) for i in range(len(texts))] == earlier_stretches(texts)
     assert got[2].text == "c\nd" and got[4]._removed == 21
 
 
@@ -457,12 +431,15 @@ def test_shrinking_follows_counts(spark):
 
 
 def test_extra_columns_with_clashing_names(docs):
-    clash = docs.withColumns({n: F.lit(1) for n in ("row", "w", "h", "n", "size", "pos", "rank", "part", "length", "bucket", "codes")})
+    clash = docs.withColumns({n: F.lit(1) for n in ("row", "w", "h", "n", "size", "pos", "rank", "part", "length", "bucket", "codes", "_salt", "_host", "_path", "_rate", "_overall", "_good", "_id", "_body", "_gone", "place", "start")})
     for made in (
         simhash_dedup.keep_first(clash), line_dedup.keep_lines(clash),
         decontaminate.drop_contaminated(clash, docs.selectExpr("doc_id AS item_id", "text").filter("item_id = 17")),
     ):
         assert made.columns == clash.columns and made.count() > 0
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality", "0 AS toxic", "1 AS _rate")
+    good = quality.keep_good(clash, labels)
+    assert good.columns == clash.columns and good.count() > 0
     assert licenses.scan(clash).count() == docs.count() and fingerprints.edited_fingerprints(clash).count() == docs.count()
     assert packing.pack(clash, capacity=512).count() >= docs.count()
 
