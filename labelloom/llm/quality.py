@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                yield pd.DataFrame({"mark": sorted(marks_of(text)), "toxic": int(toxic)})
+                if marks := sorted(marks_of(text)):
+                    yield pd.DataFrame({"mark": marks, "toxic": int(toxic)})
 
     toxic, clean = sample.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") != 1, 1))).first()
     counted = (
