@@ -55,16 +55,31 @@ def unit_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(codes, np.uint64), np.array(sizes, np.int64)
 
 
-def winnow(codes: list[int], found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Places of the smallest code of every window, the first of equal ones, with the reach ``[start, stop)`` of its windows."""
-    out: list[tuple[int, int, int]] = []
-    for start, end in found:
-        place = start if end - start == 1 else min(range(start, end), key=codes.__getitem__)
-        if out and out[-1][0] == place:
-            out[-1] = place, out[-1][1], max(end, out[-1][2])
-        else:
-            out.append((place, start, end))
-    return out
+def winnow(codes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, least: int = WINDOW_WORDS) -> np.ndarray:
+    """Rows ``place, start, stop`` of the fingerprints of several texts whose units stand one after another.
+
+    ``counts`` has each text's number of units. A fingerprint is the smallest code of a window, the
+    first of equal ones; from ``start`` to ``stop`` reach the windows that have it.
+    """
+    upto = np.cumsum(counts)
+    first, last = np.repeat(upto - counts, counts), np.repeat(upto, counts)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.arange(len(sizes))
+    ends = np.searchsorted(total, total[:-1] + least)  # windows that begin at a unit
+    starts = np.searchsorted(total, total[1:] - least, "right") - 1  # windows that end at one
+    some, more = ends <= last, starts >= first
+    begin, end = np.concatenate([places[some], starts[more]]), np.concatenate([ends[some], places[more] + 1])
+    if not len(begin):
+        return np.empty((0, 3), np.int64)
+    both = np.unique(begin << 32 | end)
+    begin, end = both >> 32, both & 0xFFFFFFFF
+    order = np.argsort(codes, kind="stable")
+    rank = np.empty(len(codes) + 1, np.int64)
+    rank[order], rank[-1] = places, len(codes)
+    smallest = order[np.minimum.reduceat(rank, np.column_stack([begin, end]).ravel())[::2]]
+    head = np.flatnonzero(np.concatenate([[True], smallest[1:] != smallest[:-1]]))
+    tail = np.concatenate([head[1:], [len(smallest)]]) - 1
+    return np.column_stack([smallest[head], begin[head], end[tail]])
 
 
 Reach = tuple[list[int], list[int], int]  # codes, sizes, place of the fingerprint among them
@@ -151,23 +166,20 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = G
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, places, keys = [], [], []
-            for doc_id, raw, sizes in zip(batch["doc_id"].tolist(), batch["codes"], batch["sizes"]):
-                codes, counts = _of(raw, sizes)
-                found = winnow(codes.tolist(), windows(counts, least))
-                if found:
-                    at = np.array(found, np.int64)
-                    ids.append(np.full(len(at), doc_id, np.int64))
-                    places.append(np.column_stack([codes[at[:, 0]].view(np.int64), at]))
-                    keys.extend(xxhash.xxh64_intdigest(raw[8 * a : 8 * b], seed=p - a) for p, a, b in found)
+            raw = b"".join(batch["codes"])
+            codes, sizes = _of(raw, b"".join(batch["sizes"]))
+            counts = np.array([len(c) // 8 for c in batch["codes"]], np.int64)
+            found = winnow(codes, sizes, counts, least)
+            owner = np.repeat(np.arange(len(counts)), counts)[found[:, 0]]
+            within = found - (np.cumsum(counts) - counts)[owner][:, None]
+            keys = [xxhash.xxh64_intdigest(raw[8 * a : 8 * b], seed=p - a) for p, a, b in found.tolist()]
             if keys:
-                table = np.concatenate(places)
                 yield pd.DataFrame(
                     {
-                        "code": table[:, 0],
+                        "code": codes[found[:, 0]].view(np.int64),
                         "reach": np.array(keys, np.uint64).view(np.int64),
-                        "doc_id": np.concatenate(ids),
-                        **{c: table[:, i].astype(np.int32) for i, c in enumerate(("place", "start", "stop"), start=1)},
+                        "doc_id": batch["doc_id"].to_numpy()[owner],
+                        **{c: within[:, i].astype(np.int32) for i, c in enumerate(("place", "start", "stop"))},
                     }
                 )
 
