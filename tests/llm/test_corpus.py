@@ -267,13 +267,14 @@ def test_packing_plan_keeps_every_capacity(seed):
 
 def windows_similarity(text, item, k=5):
     cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
-    runs = lambda w: [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    k = min(k, len(cut(item)))
+    runs = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if k else []
     doc, want = runs(cut(text)), collections.Counter(runs(cut(item)))
     n, best = sum(want.values()), 0.0
     for start in range(len(doc)):
         have = collections.Counter(doc[start : start + n])
         both = sum((have & want).values())
-        best = max(best, both / (n + sum(have.values()) - both)) if n else 0.0
+        best = max(best, both / (n + sum(have.values()) - both))
     return best
 
 
@@ -282,7 +283,8 @@ def test_decontamination_against_all_windows(spark):
     vocabulary = [f"w{i}" for i in range(300)]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(i, say(rng.randint(3, 40))) for i in range(12)] + [(20, "a b a b a b a b a b a b"), (21, ""), (22, None)]
-    texts = [None, "", "a b a b a b a b a b a b", say(30)]
+    items += [(23, "alpha beta gamma delta"), (24, "Solo"), (25, "alpha beta gamma delta eps")]
+    texts = [None, "", "a b a b a b a b a b a b", say(30), "x alpha, beta gamma delta eps", "alpha beta", "not solo here solo"]
     for _, item in items[:12]:
         words = item.split()
         for changes in (0, 1, 4):
@@ -307,6 +309,32 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.contaminated(df.filter("doc_id < 0"), benchmark).count() == 0
 
 
+def test_items_with_a_much_repeated_shingle_are_found(spark):
+    rng = random.Random(17)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items, texts = [], []
+    for i in range(40):
+        head, tail = say(45), say(45)
+        items.append((i, f"{head} {' '.join(['again'] * 15)} {tail}"))
+        texts.append(f"{say(12)} {head} {' '.join(['again'] * rng.randint(3, 15))} {tail} {say(12)}")
+        texts.append(f"{say(9)} {head} {say(rng.randint(1, 15))} {tail}")
+    want = {(d, d // 2): round(s, 6) for d, t in enumerate(texts) if (s := windows_similarity(t, items[d // 2][1])) >= 0.8}
+    assert len(want) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for radius in (decontaminate.RADIUS, 0):  # with 0 nearly all are met beyond the radius
+        found = decontaminate.contaminated(df, benchmark, radius=radius).collect()
+        assert {(r.doc_id, r.item_id): r.similarity for r in found} == want
+
+
+def test_contaminated_rows_of_a_repeated_id_go_alone(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, item), (1, "clean"), (None, item), (2, None), (1, item)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = {tuple(r) for r in decontaminate.drop_contaminated(df, benchmark).collect()}
+    assert left == {(1, "clean"), (None, item), (2, None)}
+
+
 def earlier_stretches(texts):
     """Brute force: units in any stretch of eight words or more that stood earlier, in the same text or one before."""
     seen, out = set(), []
