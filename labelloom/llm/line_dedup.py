@@ -138,8 +138,6 @@ def windows(sizes: np.ndarray, least: int = WINDOW_WORDS) -> list[tuple[int, int
     return sorted(both)
 
 
-def _of(codes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(codes, "<u8"), np.frombuffer(sizes, "<i4").astype(np.int64)
 
 
 def signed(value: int) -> int:
@@ -151,6 +149,11 @@ PLACE = "code long, reach long, doc_id long, place int, start int, stop int"
 
 def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = GROUP) -> DataFrame:
     """``doc_id, body, gone`` where ``body`` is a hash of the text and ``gone`` lists stretches of units."""
+    # A unit with that many words is a window by itself, so no larger size need be told apart.
+    width = np.min_scalar_type(least).newbyteorder("<")
+
+    def _of(codes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(codes, "<u8"), np.frombuffer(sizes, width).astype(np.int64)
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,7 +163,7 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = G
                     "doc_id": batch["doc_id"],
                     "body": batch["body"],
                     "codes": [c.astype("<u8").tobytes() for c, _ in both],
-                    "sizes": [n.astype("<i4").tobytes() for _, n in both],
+                    "sizes": [np.minimum(n, least).astype(width).tobytes() for _, n in both],
                 }
             )
 
@@ -189,7 +192,8 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = G
             for doc_id, raw, sizes, asked in zip(batch["doc_id"], batch["codes"], batch["sizes"], batch["asked"]):
                 for x in asked:
                     a, b = x["start"], x["stop"]
-                    rows.append((x["code"], doc_id, x["place"], a, raw[8 * a : 8 * b], sizes[4 * a : 4 * b]))
+                    wide = width.itemsize
+                    rows.append((x["code"], doc_id, x["place"], a, raw[8 * a : 8 * b], sizes[wide * a : wide * b]))
             yield pd.DataFrame(rows, columns=["code", "doc_id", "place", "start", "codes", "sizes"])
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,10 +297,10 @@ def dedup_lines(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     matched = docs.withColumn(own, F.xxhash64("text")).join(
         stretches, (F.col("doc_id") == F.col(at)) & (F.col(own) == F.col(body)), "left"
     )
-    cleaned = matched.withColumn(rest_of, rest(F.col("text"), F.col(gone)))
-    return cleaned.withColumns({"text": F.col(f"{rest_of}.text"), "_removed": F.col(f"{rest_of}.removed")}).select(
-        *docs.columns, "_removed"
-    )
+    touched = F.col(gone).isNotNull()  # only these texts travel to Python
+    cleaned = matched.withColumn(rest_of, rest(F.when(touched, F.col("text")), F.col(gone)))
+    text = F.when(touched, F.col(f"{rest_of}.text")).otherwise(F.col("text"))
+    return cleaned.withColumns({"text": text, "_removed": F.col(f"{rest_of}.removed")}).select(*docs.columns, "_removed")
 
 
 def query(spark, folder: str) -> DataFrame:
