@@ -196,38 +196,47 @@ def classify(
     Rows with repeated ids are judged one by one. Columns of ``docs`` may have any names; those with
     the names of the added ones stand beside them in the result.
     """
-    judged, names = _judged(docs, labels, host, path, rows)
+    judged, names = _judged(docs, labels, host, path, docs.columns, rows)
     return judged.select(*docs.columns, *[F.col(names[n]).alias(f"_{n}") for n in ("evidence", "rate", "posterior", "good")])
 
 
-def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with what ``classify`` adds, under names that none of its columns has."""
+def _judged(
+    docs: DataFrame, labels: DataFrame, host: str, path: str, keep: list[str], rows: int = SAMPLE_ROWS
+) -> tuple[DataFrame, dict[str, str]]:
+    """Columns ``keep`` of ``docs`` with what ``classify`` adds, under names that none of its columns has.
+
+    Texts are scored once and stored with their scores; site rates and posteriors come from there.
+    """
     names = {n: free_name(f"_{n}", docs.columns) for n in ("host", "path", "rate", "overall", "evidence", "posterior", "good")}
     model = train(docs, labels, rows)
     site = {n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in (("host", host), ("path", path))}
-    scored = docs.select(*[s.alias(n) for n, s in site.items()], evidence(F.col("text"), model).alias("evidence"))
-    rates = C.stored(site_rates(scored), "rates").select(*[F.col(n).alias(names[n]) for n in ("host", "path", "rate", "overall")])
-    marked = docs.select("*", *[s.alias(names[n]) for n, s in site.items()], evidence(F.col("text"), model).alias(names["evidence"]))
-    joined = sized_join(marked, rates, [names["host"], names["path"]], spread_by=["doc_id"])
+    said = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    scored = C.stored(
+        docs.select(
+            *keep,
+            *[s.alias(names[n]) for n, s in site.items()],
+            evidence(F.col("text"), model).alias(names["evidence"]),
+            said.alias(names["good"]),
+        ),
+        "scored",
+    )
+    rates = site_rates(scored.select(*[F.col(names[n]).alias(n) for n in ("host", "path", "evidence")]))
+    rates = C.stored(rates, "rates").select(*[F.col(n).alias(names[n]) for n in ("host", "path", "rate", "overall")])
+    joined = sized_join(scored, rates, [names["host"], names["path"]], spread_by=["doc_id"])
     odds = lambda n: F.greatest(F.col(names[n]), F.lit(1e-9)) / F.greatest(1 - F.col(names[n]), F.lit(1e-9))
     total = odds("evidence") * odds("rate") / odds("overall")
-    said = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     joined = joined.withColumn(names["posterior"], total / (1 + total))
-    return joined.withColumn(names["good"], said & (F.col(names["posterior"]) >= KEEP_FROM)), names
+    return joined.withColumn(names["good"], F.col(names["good"]) & (F.col(names["posterior"]) >= KEEP_FROM)), names
 
 
 def query(spark, folder: str) -> DataFrame:
     docs, labels = (C.table(spark, folder, t) for t in ("documents", "labels"))
-    return classify(docs, labels).select(
-        "doc_id",
-        F.col("_evidence").alias("evidence"),
-        F.col("_rate").alias("site_rate"),
-        F.col("_posterior").alias("posterior"),
-        F.col("_good").alias("good"),
-    )
+    judged, names = _judged(docs, labels, "source", "lang", ["doc_id"])
+    shown = {"evidence": "evidence", "rate": "site_rate", "posterior": "posterior", "good": "good"}
+    return judged.select("doc_id", *[F.col(names[n]).alias(alias) for n, alias in shown.items()])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are good by ``classify``, sites being ``source`` and ``lang``."""
-    judged, names = _judged(docs, labels, "source", "lang")
+    judged, names = _judged(docs, labels, "source", "lang", docs.columns)
     return judged.filter(F.col(names["good"])).select(*docs.columns)
