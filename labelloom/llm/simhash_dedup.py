@@ -17,26 +17,29 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import common as C
 from labelloom.llm.components import component_ids
+from labelloom.operators.scale import free_name, salted_join
 
 RADIUS = 3
+HOT_ROWS = 20_000
 SHINGLE = 3
 DEPTHS = (8, 16, 24, 32, 48, 64)
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, fingerprint`` of every row: XXH64 of each k-word shingle votes with weight one.
+def fingerprints(docs: DataFrame, k: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, columns ``keep`` and ``fingerprint`` of every row: XXH64 of each k-word shingle votes with weight one.
 
     Null texts and texts without words get zero; repeated rows stay repeated.
     """
+    own = ["doc_id", *keep]
     split = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", C.words(C.ascii_lower(F.col("text"))).alias("w")
+        F.monotonically_increasing_id().alias("row"), *own, C.words(C.ascii_lower(F.col("text"))).alias("w")
     )
-    terms = split.select("row", "doc_id", F.explode_outer(C.shingles(F.col("w"), k)).alias("s")).select(
+    terms = split.select("row", *own, F.explode_outer(C.shingles(F.col("w"), k)).alias("s")).select(
         "row",
-        "doc_id",
+        *own,
         F.when(F.col("s.`0`").isNotNull(), F.xxhash64(F.concat_ws(" ", *C.parts("s", k)))).alias("h"),
     )
-    return terms.groupBy("row", "doc_id").agg(*C.votes(F.col("h"))).select("doc_id", C.fingerprint().alias("fingerprint"))
+    return terms.groupBy("row", *own).agg(*C.votes(F.col("h"))).select(*own, C.fingerprint().alias("fingerprint"))
 
 
 def _prefix(bits: Column, depth: int) -> Column:
@@ -87,15 +90,17 @@ def trie_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fingerprint, n_links, component_id`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, columns ``keep``, ``fingerprint, n_links, component_id`` for every row of ``docs``.
 
     ``n_links`` counts the other distinct fingerprints within the radius. The component id is the
     smallest doc_id that links reach. A null doc_id gets a row but never names a component, unless
-    all ids of it are null.
+    all ids of it are null. A fingerprint of very many rows (copies, texts without words) is cut
+    over several tasks when its rows learn their component.
     """
-    prints = C.stored(fingerprints(docs, k), "simhash")
-    classes = C.stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    prints = C.stored(fingerprints(docs, k, keep), "simhash")
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("count"))
+    classes = C.stored(classes, "simhash-classes")
     links = C.stored(trie_links(classes, radius), "simhash-links")
     ends = links.select(F.col("x").alias("fingerprint")).unionAll(links.select("y"))
     degree = ends.groupBy("fingerprint").agg(F.count("*").alias("n_links"))
@@ -109,7 +114,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
             F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         )
     )
-    return prints.join(known, "fingerprint").select("doc_id", "fingerprint", "n_links", "component_id")
+    counts = classes.select("fingerprint", "count")
+    named = salted_join(prints, known, ["fingerprint"], "inner", ["doc_id"], counts, HOT_ROWS)
+    return named.select("doc_id", *keep, "fingerprint", "n_links", "component_id")
 
 
 def query(spark, folder: str) -> DataFrame:
@@ -120,8 +127,12 @@ def query(spark, folder: str) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """Documents without near duplicates of smaller id, linked as in ``near_duplicates``.
 
-    Rows with one id go or stay together, null ids stay.
+    Rows that repeat both id and text go or stay together; those that repeat the id with another text
+    are judged by their own text. Null ids stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    at, body, of = (free_name(n, docs.columns) for n in ("_id", "_body", "_of"))
+    hashed = docs.withColumn(body, F.xxhash64("text"))
+    found = near_duplicates(hashed.select("doc_id", body, "text"), keep=(body,))
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(at), F.col(body).alias(of)).distinct()
+    same = (F.col("doc_id") == F.col(at)) & (F.col(body) == F.col(of))
+    return hashed.join(gone, same, "left_anti").select(*docs.columns)

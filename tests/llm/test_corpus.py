@@ -161,6 +161,14 @@ def test_near_duplicates(docs, texts, empty):
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_a_repeated_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(6)
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    rows = [(1, one), (2, two), (2, two), (5, one), (5, three), (7, None), (8, ""), (None, one)]
+    kept = simhash_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (2, two), (2, two), (5, three), (7, None), (None, one)], key=str)
+
+
 def test_chat_round_trip(spark, texts):
     rng = random.Random(2)
     rows = []
@@ -458,6 +466,35 @@ def test_shrinking_follows_counts(spark):
     assert 0 < got["c"].rate < got["c"].overall and got["d"].rate > got["d"].overall
 
 
+def test_rates_are_those_of_plain_python(spark):
+    rng = random.Random(12)
+    rows = [(f"h{h}", f"p{p}", rng.random() ** (1 + h)) for h in range(4) for p in range(3) for _ in range(rng.randint(1, 60))]
+    got = {(r.host, r.path): r for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
+
+    def strength(groups, centres):
+        n = sum(c for _, c in groups)
+        within = sum(m * (1 - m) for m in centres) / len(groups)
+        between = sum((g / c - m) ** 2 * c for (g, c), m in zip(groups, centres)) / n
+        return min(1000.0, max(5.0, within / between - 1))
+
+    def sums(key):
+        out = {}
+        for row in rows:
+            good, n = out.get(key(row), (0.0, 0))
+            out[key(row)] = good + row[2], n + 1
+        return out
+
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    overall = sum(r[2] for r in rows) / len(rows)
+    s = strength(list(hosts.values()), [overall] * len(hosts))
+    host_rate = {h: (g + s * overall) / (n + s) for h, (g, n) in hosts.items()}
+    s = strength(list(paths.values()), [host_rate[h] for h, _ in paths])
+    assert got.keys() == paths.keys()
+    for (h, p), (g, n) in paths.items():
+        assert got[h, p].overall == pytest.approx(overall) and got[h, p].host_rate == pytest.approx(host_rate[h])
+        assert got[h, p].rate == pytest.approx((g + s * host_rate[h]) / (n + s))
+
+
 def test_extra_columns_with_clashing_names(docs):
     clash = docs.withColumns({n: F.lit(1) for n in ("row", "w", "h", "n", "size", "pos", "rank", "part", "length", "bucket", "codes", "_salt", "_host", "_path", "_rate", "_overall", "_good", "_id", "_body", "_gone", "place", "start")})
     for made in (
