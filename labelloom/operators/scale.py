@@ -164,16 +164,25 @@ def salted_join(
 def spread(df: DataFrame, group: list[str], order: list[str | Column], task_rows: int = TASK_ROWS) -> DataFrame:
     """Get rows ready for ``running``.
 
-    When every group fits a task, nothing changes. Otherwise the rows are range-partitioned on
-    group and order, so that a long group is cut into consecutive pieces, and stored together with
-    the number of their piece. ``order`` must tell the rows of a group apart.
+    When every group fits a task, nothing changes. Otherwise only the rows of longer groups are
+    range-partitioned on group and order, so that each is cut into consecutive pieces, and stored
+    together with the number of their piece; all other rows stay where they are, in piece -1.
+    ``order`` must tell the rows of a group apart.
     """
-    rows = df.groupBy(*group).count().agg(F.max("count").alias("longest"), F.sum("count").alias("total")).first()
-    if (rows.longest or 0) <= task_rows:
+    sizes = store(df.groupBy(*group).count().filter(F.col("count") > task_rows), "long-groups")
+    total = sizes.agg(F.sum("count")).first()[0]
+    if total is None:
         return df
-    pieces = max(shuffle_tasks(df.sparkSession), -(-rows.total // task_rows))
-    cut = df.repartitionByRange(pieces, *group, *order).withColumn(PART, F.spark_partition_id())
-    return store(cut, "pieces")
+    # every long group has over ``task_rows`` rows, so this list is short whatever the data holds
+    named = {g: free_name(f"_long_{g}", df.columns) for g in group}
+    long = F.broadcast(sizes.select(*[F.col(g).alias(n) for g, n in named.items()]))
+    same = F.lit(True)
+    for g, n in named.items():
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    pieces = max(shuffle_tasks(df.sparkSession), -(-total // task_rows))
+    cut = df.join(long, same, "left_semi").repartitionByRange(pieces, *group, *order)
+    cut = store(cut.withColumn(PART, F.spark_partition_id()), "pieces")
+    return cut.unionByName(df.join(long, same, "left_anti").withColumn(PART, F.lit(-1)))
 
 
 Total = tuple[Callable[[Column], Column], Column, bool]
@@ -201,7 +210,8 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], totals:
     by_piece = Window.partitionBy(*group).orderBy(PART)
     before = by_piece.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        df.groupBy(*group, PART)
+        df.filter(F.col(PART) >= 0)
+        .groupBy(*group, PART)
         .agg(*[add(value).alias(name) for name, (add, value, _) in totals.items()])
         .select(
             *[F.col(g).alias(f"_at_{g}") for g in group],

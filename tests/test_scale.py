@@ -39,6 +39,18 @@ def test_cut_groups_give_the_same_running_totals(skewed, rows, descending):
     assert rows(scale.running(cut, ["run"], order, totals()), *names) == want
 
 
+def test_only_the_long_group_is_cut(spark):
+    key = F.when(F.col("id") < 6_000, F.lit(-7)).otherwise((F.col("id") - 6_000) % 10_000)
+    df = spark.range(46_000).select(key.alias("run"), F.col("id").alias("epoch"), (F.col("id") % 3).alias("value"))
+    cut = scale.spread(df, ["run"], ["epoch"], task_rows=1_000)
+    parts = {r.run: r.n for r in cut.groupBy("run").agg(F.countDistinct(scale.PART).alias("n")).filter("run < 0 OR n > 1").collect()}
+    assert parts.keys() == {-7} and parts[-7] >= 6
+    assert cut.filter(F.col("run") >= 0).select(scale.PART).distinct().collect() == [(-1,)]
+    sums = {"nth": (F.sum, F.lit(1), True), "before": (F.sum, F.col("value"), False)}
+    got, want = (scale.running(x, ["run"], ["epoch"], sums).select("run", "epoch", "nth", "before") for x in (cut, df))
+    assert got.count() == 46_000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_running_twice_on_one_cut(skewed, rows):
     def twice(df):
         first = scale.running(df, ["run"], ["epoch"], {"best_before": (F.max, F.col("value"), False)})
