@@ -12,14 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import argmax
-from ..functions.text import words
-from .encoding import build_vocab, exploded_tokens
+from .blocks import CHUNK, Blocks, binaries, in_order, met, numbers_of, pieces, text_blocks
+from .encoding import build_vocab
 from .metrics import classification_metrics
-from .scale import bucketed, fits_broadcast, salted_join, scratch_path, sized_join, store
+from .scale import bucketed, scratch_path, store
 
 INTERCEPT = 0  # feature id; the vocabulary's ids begin at 2
 MAX_DIMENSIONS = 4096
@@ -65,32 +68,166 @@ def _classes(df: DataFrame) -> list:
 # Texts
 
 
-def design_matrix(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Sparse rows ``(id, feature, x)``: counts of known tokens over the length of the text's count vector, and the intercept.
+@dataclass
+class Design:
+    """Counts of tokens over the length of each text's count vector, and where the tokens' weights are.
 
-    In buckets by id, so that sums by text move nothing.
+    ``blocks`` has the texts: ``id``, the ``split`` and ``label`` of its rows, codes and counts of its
+    tokens. Weights lie in as many parts as there are blocks: that of a feature in the part of its
+    remainder, in the order of its quotient. ``places (part, block, codes, at)`` says which tokens
+    of a block have their weights where in a part, code -1 being the intercept.
     """
-    texts = df.select("id", words(F.col("text")).alias("w")).repartition("id")
-    counts = exploded_tokens(texts).groupBy("id", "token").agg(F.count("*").alias("n"))
-    squares = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    sized = counts.join(squares, "id")
-    known = sized_join(sized, vocab.select("token", F.col("token_id").alias("feature")), ["token"], "inner", spread_by=["id"])
-    rows = known.select("id", F.col("feature").cast("long").alias("feature"), (F.col("n") / F.col("norm")).alias("x"))
-    ones = df.select("id", F.lit(INTERCEPT).cast("long").alias("feature"), F.lit(1.0).alias("x"))
-    return bucketed(rows.unionByName(ones).repartition("id"), "id", name="design-matrix")
 
+    blocks: Blocks
+    places: DataFrame
+    slots: int  # weights of a part
+
+
+def text_bags(df: DataFrame) -> Blocks:
+    """The texts of ``(id, split, label, text)`` as counts of their tokens; texts that share an id count as one."""
+
+    def bags(keys: pa.Table, codes: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group, ids = pd.factorize(keys["id"].to_pandas(), sort=False)
+        order = np.argsort(group, kind="stable")
+        keys = keys.take(pa.array(order)).combine_chunks()
+        starts, lengths = offsets[order], np.diff(offsets)[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(ids)))])  # rows of each id
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[first]
+        lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), keys[c].combine_chunks()) for c in CARRIED[1:]]
+        whole = pa.table([keys["id"].take(pa.array(first[:-1])), *lists], CARRIED)
+        for a, b in pieces(bounds):
+            rows = slice(first[a], first[b])
+            text = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+            both, n = np.unique(text << 32 | in_order(codes, starts[rows], lengths[rows]), return_counts=True)
+            ends = np.searchsorted(both >> 32, np.arange(b - a + 1))
+            part = whole.slice(a, b - a).combine_chunks()
+            part = part.append_column("codes", binaries((both & 0xFFFFFFFF).astype(np.int32), ends))
+            yield from part.append_column("counts", binaries(n.astype(np.int32), ends)).to_batches()
+
+    lists = {c: T.ArrayType(df.schema[c].dataType) for c in CARRIED[1:]}
+    kept = {**lists, "codes": T.BinaryType(), "counts": T.BinaryType()}
+    return text_blocks(df.filter(F.col("id").isNotNull()), CARRIED, ["id"], shape=bags, kept=kept)
+
+
+def design_matrix(df: DataFrame, vocab: DataFrame, bags: Blocks | None = None) -> Design:
+    """The texts as ``text_bags`` (``bags`` if the caller has them) and the places of the known tokens' weights.
+
+    A token is in a block's dictionary once, so the join with the vocabulary has no hot keys.
+    """
+    bags = bags or text_bags(df)
+    parts = np.array(bags.numbers)
+    known = bags.dictionary.join(vocab.select("token", F.col("token_id").cast("long").alias("feature")), "token")
+    every = bags.texts.select("block").distinct()
+    ones = every.select("block", F.lit(-1).alias("code"), F.lit(INTERCEPT).cast("long").alias("feature"))
+
+    def dealt(found: pa.Table) -> pa.Table:
+        feature, code = found["feature"].to_numpy(), found["code"].to_numpy().astype(np.int32)
+        order = np.lexsort((feature, feature % len(parts)))
+        ends = np.searchsorted(feature[order] % len(parts), np.arange(len(parts) + 1))
+        some = np.flatnonzero(np.diff(ends))
+        at = (feature[order] // len(parts)).astype(np.int32)
+        block = pa.array(np.full(len(parts), found["block"][0].as_py()))
+        return pa.table([pa.array(parts), block, binaries(code[order], ends), binaries(at, ends)], ["part", "block", "codes", "at"]).take(some)
+
+    rows = known.select("block", "code", "feature").unionByName(ones).groupBy("block").applyInArrow(
+        dealt, "part long, block long, codes binary, at binary"
+    )
+    places = bucketed(rows.repartition(len(parts), "part"), "part", len(parts), "places")
+    last = vocab.agg(F.max("token_id")).first()[0] or INTERCEPT
+    return Design(bags, places, int(last) // len(parts) + 1)
 
-def _logits(design: DataFrame, weights: DataFrame, size: int, small: bool | None = None) -> DataFrame:
-    """``(id, z)``: for each place of ``w`` the sum of a text's features times their weights.
 
-    ``small`` says whether the weights fit a broadcast, if that was measured before.
-    """
-    table = weights.select("feature", "w")
-    if small is None:
-        small = fits_broadcast(table)
-    met = design.join(F.broadcast(table), "feature") if small else salted_join(design, table, ["feature"], spread_by=["id"])
-    sums = met.groupBy("id").agg(*[F.sum(F.col("x") * F.col("w")[j]).alias(f"z{j}") for j in range(size)])
-    return sums.select("id", F.array(*[f"z{j}" for j in range(size)]).alias("z"))
+PARTS = "part long, data binary"  # all weights of a part: place after place of ``w``, slot after slot
+
+
+def _sent(design: Design, weights: DataFrame, size: int) -> DataFrame:
+    """Each part's weights on their way to the blocks that have the tokens."""
+
+    def send(places: pa.Table, weights: pa.Table) -> pa.Table:
+        w = np.zeros((size, design_slots))
+        if weights.num_rows:
+            w = numbers_of(weights["data"], "<f8")[0].reshape(size, -1)
+        at, ends = numbers_of(places["at"], "<i4")
+        data = [w[:, at[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        return places.select(["block", "part", "codes"]).append_column("data", pa.array(data, pa.binary()))
+
+    design_slots = design.slots
+    return design.places.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(
+        send, "block long, part long, codes binary, data binary"
+    )
+
+
+def _met_weights(texts: pa.Table, sent: pa.Table, size: int) -> tuple:
+    """Logits of a block's texts, with what they were made of: codes, shares and offsets, rows per id, places of each part."""
+    codes, offsets = numbers_of(texts["codes"], "<i4")
+    counts = numbers_of(texts["counts"], "<i4")[0]
+    w = np.zeros((size, (int(codes.max()) if len(codes) else 0) + 2))  # the last is the intercept's
+    here, ends = numbers_of(sent["codes"], "<i4")
+    values = numbers_of(sent["data"], "<f8")[0]
+    for a, b in zip(ends[:-1], ends[1:]):
+        w[:, here[a:b]] = values[size * a : size * b].reshape(size, -1)
+    rows = pc.list_value_length(texts["split"]).to_numpy()
+    z, x = np.outer(rows, w[:, -1]), np.empty(len(codes))
+    for a, b in pieces(offsets):
+        part = slice(offsets[a], offsets[b])
+        text = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+        n = counts[part].astype(np.float64)
+        x[part] = n / np.sqrt(np.bincount(text, n * n, b - a))[text]
+        for j in range(size):
+            z[a:b, j] += np.bincount(text, x[part] * w[j, codes[part]], b - a)
+    return z, codes, x, offsets, rows, here, ends
+
+
+def _logit_rows(texts: pa.Table, z: np.ndarray, rows: np.ndarray) -> pa.Table:
+    """A row per row that the texts came from: ``id, split, label, z``."""
+    of = np.repeat(np.arange(len(rows)), rows)
+    flat = pa.array(z[of].ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * z.shape[1]), flat)
+    split, label = (pc.list_flatten(texts[c]) for c in CARRIED[1:])
+    return pa.table([texts["id"].take(pa.array(of)), split, label, lists], [*CARRIED, "z"])
+
+
+def _logits(design: Design, weights: DataFrame, size: int) -> DataFrame:
+    """``(id, split, label, z)``: for each place of ``w`` the sum of a text's shares times their weights."""
+
+    def score(texts: pa.Table, sent: pa.Table) -> pa.Table:
+        z, *_, rows, _, _ = _met_weights(texts, sent, size)
+        return _logit_rows(texts, z, rows)
+
+    kinds = {f.name: f.dataType for f in design.blocks.texts.schema}
+    fields = [T.StructField("id", kinds["id"]), *[T.StructField(c, kinds[c].elementType) for c in CARRIED[1:]]]
+    schema = T.StructType([*fields, T.StructField("z", T.ArrayType(T.DoubleType()))])
+    return met(design.blocks, _sent(design, weights, size), score, schema)
+
+
+def _in_parts(weights: DataFrame, design: Design, size: int) -> DataFrame:
+    """``(feature, w)`` as the parts that ``_sent`` takes."""
+    parts, slots = np.array(design.blocks.numbers), design.slots
+    of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.pmod("feature", F.lit(len(parts))).cast("int") + 1)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        w = np.zeros((size, slots))
+        w[:, rows["feature"].to_numpy() // len(parts)] = pc.list_flatten(rows["w"]).to_numpy().reshape(-1, size).T
+        return pa.table([rows["part"][:1], pa.array([w.tobytes()], pa.binary())], ["part", "data"])
+
+    return weights.select(of.cast("long").alias("part"), "feature", "w").groupBy("part").applyInArrow(pack, PARTS)
+
+
+def _from_parts(weights: DataFrame, design: Design, size: int) -> DataFrame:
+    """The parts as ``(feature, w)``, in the order of their places."""
+    place = {int(p): i for i, p in enumerate(design.blocks.numbers)}
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch["part"].to_pylist(), batch["data"]):
+                w = np.frombuffer(data.as_buffer(), "<f8").reshape(size, -1)
+                for a in range(0, w.shape[1], CHUNK // 64):
+                    some = np.ascontiguousarray(w[:, a : a + CHUNK // 64].T)
+                    feature = (a + np.arange(len(some))) * len(place) + place[part]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), pa.array(some.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(feature), lists], ["feature", "w"])
+
+    return weights.select("part", "data").mapInArrow(unpack, "feature long, w array<double>")
 
 
 def _each(z: str, candidates: int, classes: int) -> Column:
@@ -110,44 +247,104 @@ class Fit:
     logits: list[DataFrame]  # after each step: id, split, label, target, z
 
 
-def fit_texts(df: DataFrame, design: DataFrame, candidates: list[Candidate]) -> Fit:
+def fit_texts(df: DataFrame, design: Design, candidates: list[Candidate]) -> Fit:
     """Full-batch gradient steps of all candidates at once, from zero.
 
-    A step reads the design matrix twice: once with the weights for the logits, summed where the
-    buckets lie, and once with what the probabilities miss for the gradient, summed by feature
-    after a partial sum in each task. A candidate whose steps are done keeps its weights.
+    A step reads each block's texts once: with the weights that came from the parts it makes the
+    logits and what the probabilities miss, and sums up its gradient, one number per token and class.
+    The parts add up the blocks' gradients and move their weights. So what travels are the blocks'
+    dictionaries and not the texts. A candidate whose steps are done keeps its weights.
     """
     classes = _classes(df)
-    k, size = len(classes), len(candidates) * len(classes)
+    k, size, slots = len(classes), len(candidates) * len(classes), design.slots
+    n = df.filter("split = 'train'").count()
+    steps = max(c.steps for c in candidates)
+    kinds = {f.name: f.dataType for f in design.blocks.texts.schema}
+    carried = [T.StructField("id", kinds["id"]), *[T.StructField(c, kinds[c].elementType) for c in CARRIED[1:]]]
+    scored = [*carried, T.StructField("target", T.IntegerType()), T.StructField("z", T.ArrayType(T.DoubleType()))]
+    part, data = T.StructField("part", T.LongType()), T.StructField("data", T.BinaryType())
+    block = T.StructField("block", T.LongType())
+    moving, moved = T.StructType([part, block, data, *scored]), T.StructType([part, data, *scored])
+    first = int(design.blocks.numbers[0])  # the part of the intercept, in its slot 0
+
+    def filled(rows: pa.Table, like: pa.Schema, n: int) -> pa.Table:
+        return pa.table([rows[f.name] if f.name in rows.column_names else pa.nulls(n, f.type) for f in like], like.names)
+
+    def forward(texts: pa.Table, sent: pa.Table) -> pa.Table:
+        z, codes, x, offsets, rows, here, ends = _met_weights(texts, sent, size)
+        out = _logit_rows(texts, z, rows)
+        label = out["label"].combine_chunks()
+        place = pc.index_in(label, value_set=pa.array(classes, label.type))
+        target = pc.if_else(label.is_null(), pa.scalar(None, pa.int32()), pc.fill_null(place, -1))
+        out = out.append_column("target", target)
+        block = texts["block"][0].as_py()
+        out = out.append_column("part", pa.array(np.full(len(out), block)))
+        # what the probabilities miss, over the train rows of each id
+        of = np.repeat(np.arange(len(rows)), rows)
+        train = np.flatnonzero(pc.fill_null(pc.equal(out["split"], "train"), False).to_numpy())
+        missed, times = np.zeros_like(z), np.bincount(of[train], minlength=len(rows))[:, None]
+        aim = place.to_numpy(zero_copy_only=False)[train]
+        for a in range(0, size, k):
+            p = np.exp(z[:, a : a + k] - z[:, a : a + k].max(axis=1, keepdims=True))
+            missed[:, a : a + k] = times * p / p.sum(axis=1, keepdims=True)
+            known = ~np.isnan(aim.astype(np.float64))
+            np.subtract.at(missed, (of[train][known], a + aim[known].astype(np.int64)), 1.0)
+        width = (int(codes.max()) if len(codes) else 0) + 2
+        g = np.zeros((size, width))
+        g[:, -1] = rows @ missed
+        for a, b in pieces(offsets):
+            some = slice(offsets[a], offsets[b])
+            text = np.repeat(np.arange(a, b), np.diff(offsets[a : b + 1]))
+            for j in range(size):
+                g[j] += np.bincount(codes[some], x[some] * missed[text, j], width)
+        sums = pa.array([g[:, here[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        blocks = pa.array(np.full(sent.num_rows, block))
+        gradient = pa.table([sent["part"], blocks, sums], ["part", "block", "data"])
+        like = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())] + [(c, out.schema.field(c).type) for c in [*CARRIED, "target", "z"]])
+        return pa.concat_tables([filled(gradient, like, len(gradient)), filled(out, like, len(out))])
+
+    def step_of(step: int) -> Callable:
+        def back(key: tuple, places: pa.Table, sent: pa.Table) -> pa.Table:
+            number = key[0].as_py()
+            at, ends = numbers_of(places["at"], "<i4")
+            where = {b: at[x:y] for b, x, y in zip(places["block"].to_pylist(), ends[:-1], ends[1:])}
+            w, g = np.zeros((size, slots)), np.zeros((size, slots))
+            numeric = sent.filter(sent["data"].is_valid()).select(["block", "data"]).sort_by("block")
+            for b, values in zip(numeric["block"].to_pylist(), numeric["data"]):
+                array = np.frombuffer(values.as_buffer(), "<f8").reshape(size, -1)
+                if b < 0:
+                    w = array
+                else:
+                    g[:, where[b]] += array
+            new = w.copy()
+            for c, one in enumerate(candidates):
+                if step <= one.steps:
+                    some = slice(c * k, c * k + k)
+                    shrink = one.l2 * w[some]
+                    if number == first:
+                        shrink[:, INTERCEPT] = 0.0
+                    new[some] = w[some] - one.rate * (g[some] / n + shrink)
+            logits = sent.filter(sent["data"].is_null()).select(["part", *[f.name for f in scored]])
+            like = pa.schema([("part", pa.int64()), ("data", pa.binary())] + [(f.name, logits.schema.field(f.name).type) for f in scored])
+            rows = pa.table([pa.array([number]), pa.array([new.tobytes()], pa.binary())], ["part", "data"])
+            kept = [filled(rows, like, 1)] if places.num_rows else []
+            return pa.concat_tables([*kept, filled(logits, like, len(logits))])
+
+        return back
+
+    spark, logits = df.sparkSession, []
+    weights = spark.createDataFrame([], PARTS)
+    for step in range(1, steps + 1):
+        out = met(design.blocks, _sent(design, weights, size), forward, moving)
+        before = weights.withColumn("block", F.lit(-1).cast("long"))
+        sent = out.unionByName(before, allowMissingColumns=True)
+        table = store(design.places.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(step_of(step), moved), "weights")
+        if step > 1:
+            logits.append(table.filter("data IS NULL").select(*[f.name for f in scored]))
+        weights = table.filter("data IS NOT NULL").select("part", "data")
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    rows = store(df.select(*CARRIED, place.cast("int").alias("target")), "targets")
-    n = rows.filter("split = 'train'").count()
-    state = rows.withColumn("z", F.array_repeat(F.lit(0.0), size))
-    weights, logits, small = None, [], None
-    for step in range(1, max(c.steps for c in candidates) + 1):
-        missed = F.transform(
-            _each("z", len(candidates), k),
-            lambda x: F.transform(x, lambda v, i: F.exp(v - _log_total(x)) - F.when(i == F.col("target"), 1.0).otherwise(0.0)),
-        )
-        # stored, or Spark would compute the probabilities anew for every feature of a text
-        residual = store(state.filter("split = 'train'").select("id", F.flatten(missed).alias("r")), "residuals")
-        sums = design.join(residual, "id").groupBy("feature").agg(
-            *[(F.sum(F.col("x") * F.col("r")[j]) / n).alias(f"g{j}") for j in range(size)]
-        )
-        before = F.array_repeat(F.lit(0.0), size)
-        if weights is not None:
-            sums, before = sums.join(weights, "feature"), F.col("w")
-        moved = []
-        for j in range(size):
-            c = candidates[j // k]
-            shrink = F.when(F.col("feature") == INTERCEPT, 0.0).otherwise(c.l2) * before[j]
-            moved.append(before[j] - c.rate * (F.col(f"g{j}") + shrink) if step <= c.steps else before[j])
-        weights = store(sums.select("feature", F.array(*moved).alias("w")), "weights")
-        if small is None:
-            small = fits_broadcast(weights)  # all steps have the same features and classes
-        state = store(rows.join(_logits(design, weights, size, small), "id"), "logits")
-        logits.append(state)
-    return Fit(weights, classes, logits)
+    last = store(_logits(design, weights, size).select(*CARRIED, place.cast("int").alias("target"), "z"), "logits")
+    return Fit(_from_parts(weights, design, size), classes, [*logits, last])
 
 
 def learning_curve(fit: Fit, candidates: list[Candidate]) -> DataFrame:
@@ -165,16 +362,18 @@ def learning_curve(fit: Fit, candidates: list[Candidate]) -> DataFrame:
     )
 
 
-def train_from_text(df: DataFrame, candidate: Candidate = Candidate()) -> tuple[LinearModel, DataFrame]:
+def train_from_text(df: DataFrame, candidate: Candidate = Candidate(), bags: Blocks | None = None) -> tuple[LinearModel, DataFrame]:
     """Learn every weight from the text of train ``(id, split, label, text)``; the model and its learning curve.
 
-    Every token of train has a weight of its own for each class. Ids must be unique.
+    Every token of train has a weight of its own for each class. Ids must be unique. ``bags`` are
+    the ``text_bags`` of ``df``, if the caller has them.
     """
     vocab = build_vocab(_train_rows(df))
-    design = design_matrix(df, vocab)
+    design = design_matrix(df, vocab, bags)
     fit = fit_texts(df, design, [candidate])
     tokens = vocab.select(F.col("token_id").cast("long").alias("feature"), "token")
-    model = LinearModel(store(fit.weights.join(tokens, "feature", "left").select("feature", "token", "w"), "model"), fit.classes, "text")
+    weights = fit.weights.join(tokens, "feature", "left").filter(F.col("token").isNotNull() | (F.col("feature") == INTERCEPT))
+    model = LinearModel(store(weights.select("feature", "token", "w"), "model"), fit.classes, "text")
     return model, learning_curve(fit, [candidate]).drop("candidate")
 
 
@@ -229,13 +428,16 @@ def train_head(df: DataFrame, features: str = "features", l2: float = 0.1) -> Li
 # Using models
 
 
-def predict(model: LinearModel, df: DataFrame) -> DataFrame:
-    """``(id, split, label, logits, prediction)``; predictions stay distributed."""
+def predict(model: LinearModel, df: DataFrame, bags: Blocks | None = None) -> DataFrame:
+    """``(id, split, label, logits, prediction)``; predictions stay distributed.
+
+    ``bags`` are the ``text_bags`` of ``df``, if the caller has them.
+    """
     labels = F.array(*[F.lit(c) for c in model.classes])
     if model.features == "text":
         vocab = model.weights.filter(f"feature <> {INTERCEPT}").select("token", F.col("feature").alias("token_id"))
-        scored = _logits(design_matrix(df, vocab), model.weights, len(model.classes))
-        rows = df.select(*CARRIED).join(scored.withColumnRenamed("z", "logits"), "id")
+        design, size = design_matrix(df, vocab, bags), len(model.classes)
+        rows = _logits(design, _in_parts(model.weights, design, size), size).withColumnRenamed("z", "logits")
         return rows.select(*CARRIED, "logits", F.element_at(labels, argmax(F.col("logits")) + 1).alias("prediction"))
     solved = {r.feature: r.w for r in model.weights.collect()}  # dimensions times classes
     intercept = np.array(solved.pop(-1))
@@ -294,11 +496,11 @@ def fingerprint(df: DataFrame) -> str:
     return f"{row.n}:{row.x or 0}"
 
 
-def save(model: LinearModel, path: str, scored: DataFrame | None = None) -> None:
+def save(model: LinearModel, path: str, scored: DataFrame | None = None, bags: Blocks | None = None) -> None:
     """Write weights and, beside them, their fingerprint and that of the predictions for ``scored``."""
     model.weights.write.parquet(f"{path}/weights")
     spark = model.weights.sparkSession
-    said = "" if scored is None else fingerprint(predict(model, scored).select("id", "prediction"))
+    said = "" if scored is None else fingerprint(predict(model, scored, bags).select("id", "prediction"))
     about = [(model.features, str(len(model.classes)), fingerprint(spark.read.parquet(f"{path}/weights")), said)]
     described = spark.createDataFrame(about, "features string, size string, weights string, predictions string")
     described.coalesce(1).write.json(f"{path}/about")
@@ -306,7 +508,7 @@ def save(model: LinearModel, path: str, scored: DataFrame | None = None) -> None
     classes.coalesce(1).write.parquet(f"{path}/classes")
 
 
-def load(spark, path: str, scored: DataFrame | None = None) -> LinearModel:
+def load(spark, path: str, scored: DataFrame | None = None, bags: Blocks | None = None) -> LinearModel:
     """Read a saved model; an error if its weights, or its predictions for ``scored``, aren't those saved."""
     about = spark.read.json(f"{path}/about").first()
     weights = spark.read.parquet(f"{path}/weights")
@@ -314,16 +516,22 @@ def load(spark, path: str, scored: DataFrame | None = None) -> LinearModel:
         raise ValueError(f"the weights in {path} aren't those that were saved")
     classes = [r.label for r in spark.read.parquet(f"{path}/classes").orderBy("place").collect()]
     model = LinearModel(weights, classes, about.features)
-    if scored is not None and fingerprint(predict(model, scored).select("id", "prediction")) != about.predictions:
+    if scored is not None and fingerprint(predict(model, scored, bags).select("id", "prediction")) != about.predictions:
         raise ValueError(f"the model in {path} predicts otherwise than when it was saved")
     return model
 
 
-def save_and_reload(model: LinearModel, df: DataFrame) -> LinearModel:
-    """Through the shared folder, so that what is scored is what was kept; checked on the rows of ``df``."""
+def save_and_reload(model: LinearModel, df: DataFrame, bags: Blocks | None = None) -> LinearModel:
+    """Through the shared folder, so that what is scored is what was kept; checked on the rows of ``df``.
+
+    Both checks predict anew, from the weights at hand and from those read back; only the texts'
+    ``bags``, which don't depend on the model, are made once.
+    """
     path = scratch_path(df.sparkSession, "model")
-    save(model, path, df)
-    return load(df.sparkSession, path, df)
+    if model.features == "text":
+        bags = bags or text_bags(df)
+    save(model, path, df, bags)
+    return load(df.sparkSession, path, df, bags)
 
 
 # Choosing

@@ -482,8 +482,9 @@ def train_from_text(spark, folder):
 def save_and_reload(spark, folder):
     """Predictions of a text model that was written, read back and compared with what was written."""
     rows = inputs.split_documents(spark, folder)
-    kept = models.save_and_reload(models.train_from_text(rows)[0], rows)
-    return models.predict(kept, rows).select(
+    bags = models.text_bags(rows)
+    kept = models.save_and_reload(models.train_from_text(rows, bags=bags)[0], rows, bags)
+    return models.predict(kept, rows, bags).select(
         "id", "split", "label", "prediction", F.round(F.array_max("logits"), 6).alias("score")
     )
 
