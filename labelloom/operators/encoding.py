@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import hash_key
 from ..functions.text import UNKNOWN_ID, attention_mask, truncate_pad, words
-from .scale import TASK_ROWS, number, running, sized_join, spread, store
+from .blocks import groups, met, numbers_of, pieces, text_blocks
+from .scale import TASK_ROWS, number, running, spread, store
 
 # Sequence length and batch size.
 MAX_LENGTH = 128
@@ -66,20 +70,38 @@ def encode(
 ) -> DataFrame:
     """``input_ids`` of each text: the ids of its tokens in order, unknown tokens as 1.
 
-    ``max_tokens`` cuts each text before its tokens are looked up. The tokens of a text stay in
-    their task up to the merge by id, so one array per text is shuffled and not one row per token.
+    ``max_tokens`` cuts each text before its tokens are looked up. The vocabulary meets the tokens
+    of each block of texts once, so neither a row per token nor a hot token is ever shuffled.
     """
-    keep = keep or []
+    keys = [id_column, *(keep or [])]
     tokens = tokenize(F.col("text"))
     if max_tokens is not None:
         tokens = F.slice(tokens, 1, max_tokens)
-    exploded = df.select(id_column, *keep, F.posexplode_outer(tokens).alias("pos", "token"))
-    looked_up = sized_join(exploded, vocab.select("token", "token_id"), ["token"], "left", spread_by=[id_column, "pos"])
-    # Position and id in one number: a list of numbers sorts much faster than a list of structs.
-    token_id = F.coalesce("token_id", F.lit(UNKNOWN_ID))
-    item = F.when(F.col("token").isNotNull(), F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(token_id))
-    ids = F.transform(F.sort_array(F.collect_list(item)), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
-    return looked_up.groupBy(id_column, *keep).agg(ids.alias("input_ids"))
+    blocks = text_blocks(df, keys, keys, tokens)
+    known = vocab.select("token", F.col("token_id").cast("long").alias("token_id"))
+    known = blocks.dictionary.join(known, "token").select("block", "code", "token_id")
+
+    def look_up(texts: pa.Table, known: pa.Table) -> pa.Table:
+        codes, offsets = numbers_of(texts["codes"], "<i4")
+        found = np.full(int(codes.max(initial=0)) + 1, UNKNOWN_ID, np.int64)
+        found[known["code"].to_numpy()] = known["token_id"].to_numpy()
+        group, rows = groups(texts.select(keys)), texts.select(keys)
+        if len(group) and group.max() + 1 < len(group):  # rows that repeat a key make one text, place by place
+            lengths = np.diff(offsets)
+            place = np.arange(len(codes)) - np.repeat(offsets[:-1], lengths)
+            whose = np.repeat(group, lengths)
+            codes = codes[np.lexsort((found[codes], place, whose))]
+            rows = rows.take(pa.array(np.unique(group, return_index=True)[1]))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=rows.num_rows))])
+        parts = []
+        for a, b in pieces(offsets):
+            bounds = offsets[a : b + 1]
+            ids = pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(found[codes[bounds[0] : bounds[-1]]]))
+            parts.append(rows.slice(a, b - a).append_column("input_ids", ids))
+        return pa.concat_tables(parts)
+
+    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keys], T.StructField("input_ids", T.ArrayType(T.LongType()))])
+    return met(blocks, known, look_up, schema)
 
 
 def encode_fixed(
