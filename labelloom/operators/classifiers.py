@@ -12,10 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import words
+from .blocks import CHUNK, groups, in_order, met, numbers_of, pieces, text_blocks
 from .encoding import exploded_tokens
 from .scale import BROADCAST_BYTES, number, sized_join, store
 
@@ -64,63 +68,89 @@ def score_texts(df: DataFrame, weights: TextWeights, recipes: list[str]) -> Data
 
     Texts meet only the classes that share a token with them. Of all others only the best can
     win, and that depends on nothing but the number of known tokens. Tokens that train lacks add
-    nothing. A small table of weights is broadcast and one row for each text and class it met is
-    shuffled; a large one is joined with frequent tokens salted.
+    nothing. The weights meet each block's tokens once and are added up text by text in the block.
     """
     if weights.classes.count() * CLASS_BYTES > BROADCAST_BYTES:
         raise ValueError("the classes' numbers no longer fit a broadcast")
     known = weights.classes.orderBy("class").toPandas()
-    kind = weights.classes.schema["class"].dataType.simpleString()
+    kind = weights.classes.schema["class"].dataType
     labels, numbers = known["class"].tolist(), known[["prior", "unseen", "bias"]].to_numpy(np.float64)
+    blocks = text_blocks(df, CARRIED, CARRIED)
+    found = blocks.dictionary.join(weights.tokens, "token").select("block", "code", F.inline("weights"))
 
-    texts = df.select(*CARRIED, words(F.col("text")).alias("w"))
-    shares = texts.select(*CARRIED, F.try_divide(F.lit(1.0), F.size("w")).alias("share"), "w")
-    exploded = shares.select(*CARRIED, "share", F.posexplode_outer("w").alias("pos", "token"))
-    matched = sized_join(exploded, weights.tokens, ["token"], "left", spread_by=["id", "pos"])
-    marker = F.struct(F.lit(None).cast(kind).alias("class"), F.lit(0.0).alias("keyword"), F.lit(0.0).alias("centroid"))
-    each = F.explode(F.concat(F.array(marker), F.coalesce("weights", F.array()))).alias("e")
-    met = matched.select(*CARRIED, "share", F.col("weights").isNotNull().cast("long").alias("known"), each)
-    sums = met.groupBy(*CARRIED, F.col("e.class").alias("class")).agg(
-        F.sum("known").alias("known"),
-        F.sum("e.keyword").alias("keyword"),
-        F.sum(F.col("share") * F.col("e.centroid")).alias("centroid"),
-    )
-    one = F.when(F.col("class").isNotNull(), F.struct("class", "keyword", "centroid"))
-    lists = sums.groupBy(*CARRIED).agg(
-        F.max(F.when(F.col("class").isNull(), F.col("known"))).alias("known"), F.collect_list(one).alias("met")
-    )
+    def best(scores: np.ndarray) -> tuple:
+        rounded = np.round(scores, SCORE_PLACES)
+        at = int((rounded == rounded.max()).argmax())
+        return rounded[at], at, scores[at]
 
-    @F.pandas_udf(", ".join(f"{r} struct<prediction: {kind}, score: double>" for r in recipes))
-    def decide(known: pd.Series, met: pd.Series) -> pd.DataFrame:
-        place = {label: i for i, label in enumerate(labels)}
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         prior, unseen, bias = numbers.T
+        codes, offsets = numbers_of(texts["codes"], "<i4")
+        place = pc.index_in(found["class"], value_set=pa.array(labels, found.schema.field("class").type)).to_numpy()
+        order = np.lexsort((place, found["code"].to_numpy()))
+        place = place[order].astype(np.int64)
+        weight = {r: found[c].to_numpy()[order] for r, c in (("keywords", "keyword"), ("centroids", "centroid")) if r in recipes}
+        ends = np.searchsorted(found["code"].to_numpy()[order], np.arange(int(codes.max(initial=0)) + 2))
+        classes = np.diff(ends)  # of each token
+
+        group = groups(texts.select(CARRIED))
+        by_group, lengths = np.argsort(group, kind="stable"), np.diff(offsets)
+        first = np.concatenate([[0], np.cumsum(np.bincount(group))])  # rows of each group
+        total = np.concatenate([[0], np.cumsum(classes[codes])])
+        met_of = (total[offsets[1:]] - total[offsets[:-1]])[by_group]
         others: dict = {}
-
-        def best(scores: np.ndarray, places: np.ndarray) -> tuple:
-            rounded = np.round(scores, SCORE_PLACES)
-            top = rounded.max()
-            at = places[rounded == top].min()
-            return top, -int(at), float(scores[places == at][0])
-
-        everywhere = np.arange(len(labels))
-        rows = []
-        for n, found in zip(known, met):
-            places = np.array([place[x["class"]] for x in found], np.int64)
-            row = []
+        parts = []
+        for a, b in pieces(np.concatenate([[0], np.cumsum(met_of + 1)])[first]):
+            rows = by_group[first[a] : first[b]]
+            token = in_order(codes, offsets[rows], lengths[rows])
+            text = np.repeat(group[rows] - a, lengths[rows])
+            n = np.bincount(text, classes[token] > 0, b - a).astype(np.int64)
+            at = in_order(np.arange(len(place)), ends[token], classes[token])
+            key = np.repeat(text, classes[token]) * len(labels) + place[at]
+            size = (b - a) * len(labels)
+            if size <= 2 * CHUNK:
+                there = np.bincount(key, minlength=size) > 0
+                pairs, key = np.flatnonzero(there), (np.cumsum(there) - 1)[key]
+            else:
+                pairs, key = np.unique(key, return_inverse=True)
+            whose, which = np.divmod(pairs, len(labels))
+            head = np.flatnonzero(np.diff(whose, prepend=-1))
+            made = {}
             for r in recipes:
-                key = (r, n if r == "keywords" else 0)
-                if key not in others:
-                    others[key] = best(prior + n * unseen if r == "keywords" else bias, everywhere)
-                chosen = others[key]
-                if len(places):
-                    name = "keyword" if r == "keywords" else "centroid"
-                    base = prior[places] + n * unseen[places] if r == "keywords" else bias[places]
-                    chosen = max(chosen, best(base + np.array([x[name] for x in found]), places))
-                row.append({"prediction": labels[-chosen[1]], "score": chosen[2]})
-            rows.append(row)
-        return pd.DataFrame(rows, columns=recipes)
-
-    return lists.withColumn("r", decide("known", "met")).select(*CARRIED, "r.*")
+                if r == "keywords":
+                    sums = np.bincount(key, weight[r][at], len(pairs))
+                    scores = prior[which] + n[whose] * unseen[which] + sums
+                else:
+                    share = np.repeat(1.0 / np.maximum(lengths[rows], 1), lengths[rows])
+                    sums = np.bincount(key, weight[r][at] * np.repeat(share, classes[token]), len(pairs))
+                    scores = bias[which] + sums
+                kinds, back = np.unique(n if r == "keywords" else np.zeros_like(n), return_inverse=True)
+                for x in kinds.tolist():
+                    if (r, x) not in others:
+                        others[r, x] = best(prior + x * unseen if r == "keywords" else bias)
+                top, winner, value = (np.array([others[r, x][i] for x in kinds.tolist()])[back] for i in range(3))
+                if len(pairs):
+                    rounded = np.round(scores, SCORE_PLACES)
+                    highest = np.maximum.reduceat(rounded, head)
+                    hit = np.flatnonzero(rounded == np.repeat(highest, np.diff(np.append(head, len(pairs)))))
+                    hit = hit[np.unique(whose[hit], return_index=True)[1]]  # the lowest class of equal ones
+                    mine, here = whose[hit], which[hit]
+                    less = here < winner[mine]
+                    same = (here == winner[mine]) & (scores[hit] > value[mine])
+                    wins = (rounded[hit] > top[mine]) | ((rounded[hit] == top[mine]) & (less | same))
+                    winner[mine[wins]], value[mine[wins]] = here[wins], scores[hit][wins]
+                made[f"{r}_prediction"] = pa.array(labels, found.schema.field("class").type).take(pa.array(winner))
+                made[f"{r}_score"] = pa.array(value)
+            keys = texts.select(CARRIED).take(pa.array(by_group[first[a:b]]))
+            parts.append(pa.table([*keys.columns, *made.values()], [*CARRIED, *made]))
+        return pa.concat_tables(parts)
+
+    fields = [T.StructField(c, df.schema[c].dataType) for c in CARRIED]
+    for r in recipes:
+        fields += [T.StructField(f"{r}_prediction", kind), T.StructField(f"{r}_score", T.DoubleType())]
+    scored = met(blocks, found, score, T.StructType(fields))
+    each = [F.struct(F.col(f"{r}_prediction").alias("prediction"), F.col(f"{r}_score").alias("score")).alias(r) for r in recipes]
+    return scored.select(*CARRIED, *each)
 
 
 def _classify(df: DataFrame, recipe: str) -> DataFrame:
