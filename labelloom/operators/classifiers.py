@@ -72,9 +72,9 @@ def score_texts(df: DataFrame, weights: TextWeights, recipes: list[str]) -> Data
     """
     if weights.classes.count() * CLASS_BYTES > BROADCAST_BYTES:
         raise ValueError("the classes' numbers no longer fit a broadcast")
-    known = weights.classes.orderBy("class").toPandas()
+    known = weights.classes.orderBy("class").select("class", "prior", "unseen", "bias").collect()
     kind = weights.classes.schema["class"].dataType
-    labels, numbers = known["class"].tolist(), known[["prior", "unseen", "bias"]].to_numpy(np.float64)
+    labels, numbers = [r[0] for r in known], np.array([r[1:] for r in known], np.float64)  # a null label is a class
     blocks = text_blocks(df, CARRIED, CARRIED)
     found = blocks.dictionary.join(weights.tokens, "token").select("block", "code", F.inline("weights"))
 

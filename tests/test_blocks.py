@@ -40,3 +40,11 @@ def test_encode_joins_texts_of_one_key(spark, rows):
     df = spark.createDataFrame([(1, "a b"), (1, "b b c"), (2, "c"), (None, "a"), (None, None)], "id int, text string")
     vocab = encoding.build_vocab(spark.createDataFrame([("a a b",)], "text string"))
     assert rows(encoding.encode(df, vocab)) == [(1, [2, 3, 3, 3, 1]), (2, [1]), (None, [2])]
+
+
+def test_a_null_label_is_a_class(spark):
+    data = [(i, "train", (None, 0, 1)[i % 3], f"c{i % 3} common") for i in range(30)] + [(30, "train", None, "")]
+    data += [(31, "test", 0, "c1 c1"), (32, "test", 1, "unheard"), (33, None, None, None)]
+    df = spark.createDataFrame(data, "id int, split string, label int, text string").repartition(3)
+    got = {r.id: r.prediction for r in classifiers.keyword_classifier(df).collect()}
+    assert len(got) == 34 and got[31] == 0 and got[1] == 0 and got[2] == 1 and got[32] is None and got[33] is None
