@@ -364,7 +364,8 @@ def masked_token_metrics(spark, folder):
     vocab = encoding.build_vocab(_train(rows))
     size = vocab.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
     positions = _padded(rows, vocab).select("lang", F.explode("input_ids").alias("target"))
-    counted = positions.groupBy("lang", "target").agg(F.count("*").alias("positions"))
+    # stored, since the join may count its keys first
+    counted = store(positions.groupBy("lang", "target").agg(F.count("*").alias("positions")), "positions")
     frequency = vocab.select(F.col("token_id").alias("target"), "n")
     looked_up = sized_join(counted, frequency, ["target"], "left", spread_by=["lang"])
     probability = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(size.tokens + size.distinct + 1))
