@@ -8,8 +8,9 @@ words is made of such windows.
 * The smallest unit hash of every window is a fingerprint. Equal windows have it at equal places,
   so no repeated window is missed, and only as many places are kept as there are fingerprints.
   The units of all windows with one fingerprint are its reach.
-* Places are joined by fingerprint. Equal reaches are counted; all but the first, by doc_id and
-  place, are later repeats as a whole.
+* Places are moved once, to meet by fingerprint; most stand alone and go no further. All but the
+  first of equal reaches, by doc_id and place, are later repeats as a whole. Fingerprints with so
+  many places that they would burden a task are counted first and joined with hot keys salted.
 * Different reaches of one fingerprint meet in one task. From the common unit each match is
   extended both ways; where it has enough words, the later one of the two is deleted.
 * A fingerprint with over ``GROUP`` different reaches, a very common short line, is told apart by
@@ -21,12 +22,13 @@ What is deleted always has an equal unit earlier on, so the first copy of every
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm import common as C
@@ -34,18 +36,29 @@ from labelloom.operators.scale import bucketed, free_name, salted_join, shuffle_
 
 WINDOW_WORDS = 8
 GROUP = 256
-HOT_ROWS = 20_000
+HOT_ROWS = 2_000
+LOTS = 1 << 16
+CROWD = 2_000  # places beyond twice a lot's share that make a lot of fingerprints a crowded one
 BREAK = re.compile(r"(\n|(?<=[.!?]) +)")
 
 
 def cut(text: str) -> tuple[list[str], list[str]]:
     """Units and what follows each."""
+    if "  " not in text and "\0" not in text:  # every break is one character, no expression is needed
+        marked = text.replace("\n", "\0\n").replace(". ", ".\0 ").replace("! ", "!\0 ").replace("? ", "?\0 ")
+        first, *others = marked.split("\0")
+        return [first, *[x[1:] for x in others]], [*[x[0] for x in others], ""]
     pieces = BREAK.split(text)
     return pieces[0::2], [*pieces[1::2], ""]
 
 
 def unit_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of words of each unit with words."""
+    if "  " not in text and text.replace("\n", "").isprintable():  # no white space but single spaces and line ends
+        lines = text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+        units = [unit for unit in [line.strip(" ") for line in lines] if unit]
+        codes = [xxhash.xxh64_intdigest(unit) for unit in units]
+        return np.array(codes, np.uint64), np.array([unit.count(" ") + 1 for unit in units], np.int64)
     codes, sizes = [], []
     for unit in cut(text)[0]:
         words = unit.split()
@@ -112,7 +125,7 @@ def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
     delete = {i for start, end in gone for i in range(start, end)}
     out, place, removed, last = [], 0, 0, False
     for unit, after in zip(*cut(text)):
-        if unit.split():
+        if unit and not unit.isspace():
             last = place in delete
             place += 1
             if last:
@@ -138,8 +151,6 @@ def windows(sizes: np.ndarray, least: int = WINDOW_WORDS) -> list[tuple[int, int
     return sorted(both)
 
 
-
-
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -147,7 +158,46 @@ def signed(value: int) -> int:
 PLACE = "code long, reach long, doc_id long, place int, start int, stop int"
 
 
-def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = GROUP) -> DataFrame:
+def repeats(places: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, start, stop`` of reaches that stand earlier too, and ``code, n, doc_id, place, start, stop``
+    of the first place of each reach, for fingerprints with ``n > 1`` different ones.
+
+    Fingerprints are counted in ``LOTS`` lots by their hash. No lot that is grouped by a plain window
+    holds more than ``crowd`` places beyond twice a lot's share, so neither does any fingerprint.
+    The numbers of the crowded lots, fewer than half of all, come to the driver.
+    """
+    lots = places.withColumn("lot", F.pmod("code", F.lit(LOTS)))
+    sizes = C.stored(lots.groupBy("lot").agg(F.count("*").alias("size")), "lots")
+    limit = crowd + 2 * (sizes.agg(F.sum("size")).first()[0] or 0) / LOTS
+    crowded = [row.lot for row in sizes.filter(F.col("size") > limit).select("lot").collect()]
+    alike = Window.partitionBy("code", "reach").orderBy("doc_id", "place")
+    met = (
+        lots.filter(~F.col("lot").isin(crowded)).drop("lot").repartition("code")
+        .withColumn("nth", F.row_number().over(alike))
+        .withColumn("n", F.sum(F.when(F.col("nth") == 1, 1)).over(Window.partitionBy("code")))
+        .filter("nth > 1 OR n > 1")
+        .drop("reach")
+    )
+    met = C.stored(met, "met-places")
+    later = met.filter("nth > 1").select("doc_id", "start", "stop")
+    firsts = met.filter("nth = 1").select("code", "n", "doc_id", "place", "start", "stop")
+    if not crowded:
+        return later, firsts
+    many = lots.filter(F.col("lot").isin(crowded)).drop("lot")
+    one = F.struct("doc_id", "place", "start", "stop")
+    equal = C.stored(many.groupBy("code", "reach").agg(F.count("*").alias("count"), F.min(one).alias("first")), "equal-reaches")
+    several = equal.filter("count > 1")
+    first = several.select("code", "reach", F.col("first.doc_id").alias("from_id"), F.col("first.place").alias("from_place"))
+    counts = several.select("code", "reach", "count")
+    again = salted_join(many, first, ["code", "reach"], "inner", ["doc_id", "place"], counts, HOT_ROWS)
+    shared = C.stored(equal.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"), "shared-fingerprints")
+    return (
+        later.unionByName(again.filter("doc_id != from_id OR place != from_place").select("doc_id", "start", "stop")),
+        firsts.unionByName(equal.select("code", "first.*").join(shared, "code")),
+    )
+
+
+def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = GROUP, crowd: int = CROWD) -> DataFrame:
     """``doc_id, body, gone`` where ``body`` is a hash of the text and ``gone`` lists stretches of units."""
     # A unit with that many words is a window by itself, so no larger size need be told apart.
     width = np.min_scalar_type(least).newbyteorder("<")
@@ -197,21 +247,26 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = G
             yield pd.DataFrame(rows, columns=["code", "doc_id", "place", "start", "codes", "sizes"])
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, before = None, []
+        code, before = None, defaultdict(list)
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
+                p = r.place - r.start
+                codes, sizes = np.frombuffer(r.codes, "<u8").tolist(), np.frombuffer(r.sizes, width).tolist()
+                mine, beside = (codes, sizes, p), [(i, codes[i + p]) for i in (-1, 1) if 0 <= i + p < len(codes)]
                 if r.code != code:
-                    code, before = r.code, []
-                codes, sizes = _of(r.codes, r.sizes)
-                mine = codes.tolist(), sizes.tolist(), r.place - r.start
-                for other in before:
+                    code, before = r.code, defaultdict(list)
+                elif sizes[p] >= least:  # enough with any place before
+                    rows.append((r.doc_id, r.place, r.place + 1))
+                # only where a unit beside the common one is equal too can a match be longer
+                for other in (other for at in beside for other in before.get(at, ())):
                     start, stop, words = stretch(mine, other)
                     if words >= least:
                         rows.append((r.doc_id, r.start + start, r.start + stop))
                         if stop - start == len(codes):
                             break
-                before.append(mine)
+                for at in beside:
+                    before[at].append(mine)
             yield pd.DataFrame(rows, columns=["doc_id", "start", "stop"])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,29 +292,16 @@ def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = G
     one_each = made.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.min(F.struct("body", "codes", "sizes")).alias("x"))
     cutted = bucketed(one_each.select("doc_id", "x.*"), "doc_id", tasks, "units")
     places = C.stored(cutted.select("doc_id", "codes", "sizes").mapInPandas(prints, PLACE), "winnowed")
-    one = F.struct("doc_id", "place", "start", "stop")
-    equal = C.stored(places.groupBy("code", "reach").agg(F.count("*").alias("count"), F.min(one).alias("first")), "equal-reaches")
-    several = equal.filter("count > 1")
-    first = several.select("code", "reach", F.col("first.doc_id").alias("from_id"), F.col("first.place").alias("from_place"))
-    counts = several.select("code", "reach", "count")
-    spans = (
-        salted_join(places, first, ["code", "reach"], "inner", ["doc_id", "place"], counts, HOT_ROWS)
-        .filter("doc_id != from_id OR place != from_place")
-        .select("doc_id", "start", "stop")
-    )
-
-    shared = C.stored(equal.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"), "shared-fingerprints")
-    firsts = equal.select("code", "first.*")
+    spans, firsts = repeats(places, crowd)
 
-    def wanted(codes: DataFrame) -> DataFrame:
-        asked = firsts.join(codes.select("code"), "code", "left_semi")
+    def wanted(asked: DataFrame) -> DataFrame:
         lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("code", "place", "start", "stop")).alias("asked"))
         kinds = "code long, doc_id long, place int, start int, codes binary, sizes binary"
         return cutted.select("doc_id", "codes", "sizes").join(lists, "doc_id").mapInPandas(reaches, kinds)
 
-    met = wanted(shared.filter(F.col("n") <= group)).repartition("code").sortWithinPartitions("code", "doc_id", "place")
+    met = wanted(firsts.filter(F.col("n") <= group)).repartition("code").sortWithinPartitions("code", "doc_id", "place")
     spans = spans.unionByName(met.mapInPandas(extended, "doc_id long, start int, stop int"))
-    crowded = shared.filter(F.col("n") > group)
+    crowded = firsts.filter(F.col("n") > group)
     if not crowded.isEmpty():
         whole = C.stored(wanted(crowded).mapInPandas(hashed, "window long, doc_id long, start int, stop int"), "whole-windows")
         best = whole.groupBy("window").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "start", "stop")).alias("first"))

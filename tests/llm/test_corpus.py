@@ -380,6 +380,38 @@ def test_crowded_fingerprints_are_told_apart_by_windows(spark):
         assert got == want
 
 
+def test_lone_places_go_no_further_and_crowded_lots_give_the_same(spark):
+    rng = random.Random(14)
+    lines = ["Common line."] * 8 + [prose(rng, rng.randint(1, 12)) for _ in range(12)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 14))) for _ in range(50)]
+    texts += [f"Only{i} " + prose(rng, 9) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = earlier_stretches(texts)
+    for crowd in (0, 20, 1_000_000):  # every lot crowded, some, none
+        gone = by_id(line_dedup.deleted_stretches(df, crowd=crowd))
+        got = [line_dedup.without(t, [tuple(x) for x in gone[i].gone] if i in gone else []) for i, t in enumerate(texts)]
+        assert got == want
+    rows = [(c, 10 * c + r, d, p, p, p + 1) for c, r, d, p in [(1, 1, 1, 0), (2, 1, 1, 1), (2, 1, 2, 0), (3, 1, 1, 2), (3, 2, 2, 5)]]
+    places = spark.createDataFrame(rows, line_dedup.PLACE)
+    for crowd in (0, 1_000_000):
+        later, firsts = line_dedup.repeats(places, crowd)
+        assert [tuple(r) for r in later.collect()] == [(2, 0, 1)]
+        assert sorted((r.code, r.n, r.doc_id, r.place) for r in firsts.collect()) == [(3, 2, 1, 2), (3, 2, 2, 5)]
+
+
+def test_plain_texts_are_cut_as_the_expression_cuts_them():
+    rng = random.Random(15)
+    marks = ["a", "bc", ".", "!", "?", " ", "  ", "\n", "\t", "\0", "\xa0", "\x1c", "é", "日", "\u3000", "...", ". "]
+    for _ in range(4_000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 14)))
+        pieces = line_dedup.BREAK.split(text)
+        assert line_dedup.cut(text) == (pieces[0::2], [*pieces[1::2], ""]), repr(text)
+        words = [u.split() for u in pieces[0::2] if u.split()]
+        codes, sizes = line_dedup.unit_codes(text)
+        assert sizes.tolist() == [len(w) for w in words], repr(text)
+        assert codes.tolist() == [line_dedup.xxhash.xxh64_intdigest(" ".join(w)) for w in words], repr(text)
+
+
 def test_windows_whose_units_stood_elsewhere_are_cut(spark):
     rng = random.Random(10)
     lines = [prose(rng, rng.randint(1, 5)) for _ in range(12)]
