@@ -36,9 +36,8 @@ from labelloom.operators.scale import bucketed, free_name, salted_join, shuffle_
 
 WINDOW_WORDS = 8
 GROUP = 256
-HOT_ROWS = 2_000
+HOT_ROWS = 20_000
 LOTS = 1 << 16
-CROWD = 2_000  # places beyond twice a lot's share that make a lot of fingerprints a crowded one
 BREAK = re.compile(r"(\n|(?<=[.!?]) +)")
 
 
@@ -158,7 +157,7 @@ def signed(value: int) -> int:
 PLACE = "code long, reach long, doc_id long, place int, start int, stop int"
 
 
-def repeats(places: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+def repeats(places: DataFrame, crowd: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """``doc_id, start, stop`` of reaches that stand earlier too, and ``code, n, doc_id, place, start, stop``
     of the first place of each reach, for fingerprints with ``n > 1`` different ones.
 
@@ -197,7 +196,7 @@ def repeats(places: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame
     )
 
 
-def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = GROUP, crowd: int = CROWD) -> DataFrame:
+def deleted_stretches(docs: DataFrame, least: int = WINDOW_WORDS, group: int = GROUP, crowd: int = HOT_ROWS) -> DataFrame:
     """``doc_id, body, gone`` where ``body`` is a hash of the text and ``gone`` lists stretches of units."""
     # A unit with that many words is a window by itself, so no larger size need be told apart.
     width = np.min_scalar_type(least).newbyteorder("<")
